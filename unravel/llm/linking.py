@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import staged
 
@@ -19,23 +19,24 @@ from .common import staged
 HUB_ROUNDS = 4
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) of nodes with links (a, b).
 
     Least labels are passed along links and then jump to their label's label, until
     none changes: few rounds for stars, about log of the length for chains. Hot
     nodes are summed before the shuffle.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = staged(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         low = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        low = staged(low, "labels")
         up = low.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
-        jumped = staged(low.join(up, low.c == up.n2, "left").select("node", "was", F.coalesce(F.least("c", "c2"), "c").alias("component")), "labels")
-        labels = jumped.select("node", "component")
-        if not jumped.where("component <> was").limit(1).count():
+        jumped = low.join(up, low.c == up.n2, "left").select("node", "was", F.coalesce(F.least("c", "c2"), "c").alias("component"))
+        changes = Observation()
+        labels = staged(jumped.observe(changes, F.count_if(F.expr("component <> was")).alias("n")).select("node", "component"), "labels")
+        if not changes.get.get("n"):
             return labels
 
 
@@ -77,9 +78,8 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
         new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = staged(new, "pairs")
         found = staged(confirm(new), "links")
-        tested = staged(tested.union(new), "tested")
-        links = staged(links.union(found), "links")
+        links, tested = links.union(found), tested.union(new)
         if last:
-            groups = components(links)
+            groups = components(links) if found.limit(1).count() else groups
             break
     return groups, links
