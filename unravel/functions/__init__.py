@@ -1,0 +1,13 @@
+"""Column functions: deterministic weights and draws of edges."""
+
+from pyspark.sql import Column, functions as F
+
+
+def edge_probability(src: Column, dst: Column) -> Column:
+    """Activation probability of an edge in [0, 1), from its ends."""
+    return ((src * 7919 + dst * 104729) % 1000) / F.lit(1000.0)
+
+
+def edge_draw(src: Column, dst: Column, sim: Column) -> Column:
+    """The draw of an edge in simulation ``sim``, in [0, 1)."""
+    return ((src * 31 + dst * 17 + sim * 7907) % 1000) / F.lit(1000.0)
