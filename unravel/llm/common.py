@@ -76,3 +76,15 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], s
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Rows up to which a narrow staged table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a staged table of a few numbers a row, marked for broadcast if it has
+    at most ``rows`` rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if bounded(df, rows) else df

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import staged
+from .common import near, staged
 
 #: Rounds of hubs before the rest is checked pair by pair.
 HUB_ROUNDS = 4
@@ -30,9 +30,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
     labels = staged(labels, "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        up = low.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
+        known = near(labels)
+        below = both.join(known.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        low = below.join(known, below.a == F.col("node")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+        up = known.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
         jumped = low.join(up, low.c == up.n2, "left").select("node", "was", F.coalesce(F.least("c", "c2"), "c").alias("component"))
         changes = Observation()
         labels = staged(jumped.observe(changes, F.count_if(F.expr("component <> was")).alias("n")).select("node", "component"), "labels")
@@ -47,20 +48,19 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
     The pairwise check begins once the pairs left are at most ``least_cross`` or
     as many as the nodes of open keys, or after HUB_ROUNDS.
     """
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    open_keys = staged(keys.join(shared, "key"), "keys")
-    hubs = open_keys.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = staged(open_keys.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a"), "shared")
+    open_keys = staged(keys.join(near(shared), "key"), "keys")
+    pairs = staged(open_keys.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links, tested = staged(confirm(pairs), "links"), pairs
     for turn in range(HUB_ROUNDS + 1):
         groups = components(links)
-        at = open_keys.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        at = open_keys.join(near(groups), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         parts = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
         sizes = staged(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max_by("component", F.struct("n", "least")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "sizes")
         row = sizes.agg(F.sum(F.expr("(n * n - n2) / 2")).alias("cross"), F.sum("n").alias("nodes")).first()
         if not row.cross:
             break
-        at = at.join(sizes.select("key", "main"), "key")
+        at = at.join(near(sizes.select("key", "main")), "key")
         last = turn == HUB_ROUNDS or row.cross <= max(least_cross, row.nodes)
         if last:
             left = at.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -75,8 +75,12 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
             hub = ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("hub")).select("key", "hub.*")
             hub = hub.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
             new = at.join(hub, "key").where("ca <> component").select("a", F.col("node").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near(tested), ["a", "b"], "left_anti")
         new = staged(new, "pairs")
+        if not new.limit(1).count():
+            if last:
+                break
+            continue
         found = staged(confirm(new), "links")
         links, tested = links.union(found), tested.union(new)
         if last:

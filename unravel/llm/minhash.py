@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_pass, binary, staged
+from .common import arrow_pass, binary, near, staged
 from .linking import linked
 
 ROWS, BANDS, BITS, CORE = 6, 45, 4, 256
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (a, b) whose sets of shingles, from the full ``texts`` (node, text),
     have 100 * intersection >= percent * union."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = staged(texts.join(nodes, "node", "left_semi"), "texts")
+    used = staged(texts.join(near(staged(nodes, "nodes")), "node", "left_semi"), "texts")
     both = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -181,12 +181,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = side("b").join(side("a").join(near(pairs), "a"), "b")
         may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (similarity_estimate(F.col("pa"), F.col("pb")) >= cut)
         return confirmed(staged(both.where(may).select("a", "b").distinct(), "candidates"), texts, width, percent)
 
     groups, _ = linked(keys, confirm)
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(near(groups.withColumnRenamed("node", "class_id")), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
