@@ -242,7 +242,7 @@ def test_near_lines(spark, similarity):
         a = [draw.choice("abcdefghij") for _ in range(draw.randrange(1, 30))]
         b = [x if draw.random() < 0.85 else draw.choice("abcdefghij") for x in a if draw.random() < 0.95]
         pairs.append((a, b))
-    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", lines.near_lines(F.col("a"), F.col("b"), similarity).alias("near")).collect()
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").withColumns({"ta": F.col("a"), "tb": F.col("b")}).transform(lines.near_lines, similarity).collect()
     for r in got:
         n = max(len(r.a), len(r.b))
         assert r.near == (distance(r.a, r.b) <= int((1 - similarity) * n + 1e-9)), r
