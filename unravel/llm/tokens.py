@@ -18,7 +18,9 @@ from functools import lru_cache
 #: Cuts that a worker keeps; when more come, it starts anew.
 KEPT = 500_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PUNCT = re.escape(".,;:!?#*$%&|<>()")
+ENDS = ".,;:!?#*$%&|<>()"
+PUNCT = re.escape(ENDS)
+WORD = re.compile(f"[{LETTERS}]+")
 #: Runs of Latin letters that end at white space or plain punctuation, runs of that
 #: punctuation up to white space, and else all up to the next space or line end.
 PIECES = re.compile(rf"([ \n]*)([{LETTERS}]+)(?=[ \n{PUNCT}]|\Z)|([{PUNCT}]+(?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+\Z)")
@@ -100,6 +102,17 @@ class Encoder:
                 out.append(self.uncut(m.group()))
         return b"".join(out)
 
+    def cut_ids(self, before: str, cut: str) -> bytes:
+        """``piecewise`` of before + cut, shorter for letters and then punctuation."""
+        core = cut.rstrip(ENDS)
+        if not WORD.fullmatch(core):
+            return self.piecewise(before + cut)
+        out = self.word(core.lower() if self.lowered else before + core)
+        if core == cut:
+            return out
+        end = cut[len(core) :]
+        return out + (self.words.get(end) or self.piecewise(end))
+
     def known(self, kept: dict[str, bytes], before: str, cuts: list[str]) -> bytes:
         try:
             return b"".join(map(kept.__getitem__, cuts))
@@ -108,7 +121,7 @@ class Encoder:
                 kept.clear()
             for x in cuts:
                 if x not in kept:
-                    kept[x] = self.piecewise(before + x)
+                    kept[x] = self.cut_ids(before, x)
             return b"".join(map(kept.__getitem__, cuts))
 
     def encode(self, text: str) -> bytes:
