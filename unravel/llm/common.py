@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 #: Rows that a Python pass unpacks at a time; an Arrow batch may hold more.
 SLICE = 256
@@ -28,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage
-    that outlives any executor. Files stay until ``release``."""
+    that outlives any executor. Files stay until ``release``. The result's
+    ``staged_rows`` is its number of rows, counted as they are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/unravel-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_rows = rows.get.get("n") or 0
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -81,10 +85,19 @@ def bounded(df: DataFrame, rows: int) -> bool:
 #: Rows up to which a narrow staged table is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Narrow rows worth a task of their own.
+TASK_ROWS = 20_000
 
-def near(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a staged table of a few numbers a row, marked for broadcast if it has
-    at most ``rows`` rows."""
-    from pyspark.sql import functions as F
 
-    return F.broadcast(df) if bounded(df, rows) else df
+def near(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a table of a few numbers a row, marked for broadcast if it has at most
+    BROADCAST_ROWS rows. ``rows``: its rows or a bound on them, where known."""
+    known = getattr(df, "staged_rows", None) if rows is None else rows
+    small = bounded(df, BROADCAST_ROWS) if known is None else known <= BROADCAST_ROWS
+    return F.broadcast(df) if small else df
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows, in no more tasks than TASK_ROWS a task
+    need. The number of tasks grows with the rows; nearly empty tasks and files go."""
+    return df.coalesce(rows // TASK_ROWS + 1)

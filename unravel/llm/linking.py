@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from .common import near, staged
+from .common import gathered, near, staged
 
 #: Rounds of hubs before the rest is checked pair by pair.
 HUB_ROUNDS = 4
@@ -26,13 +26,14 @@ def components(links: DataFrame) -> DataFrame:
     none changes: few rounds for stars, about log of the length for chains. Hot
     nodes are summed before the shuffle.
     """
+    rows = 2 * (links.staged_rows if hasattr(links, "staged_rows") else links.count())
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    labels = staged(labels, "labels")
+    labels = staged(gathered(labels, rows), "labels")
     while True:
         known = near(labels)
         below = both.join(known.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = below.join(known, below.a == F.col("node")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+        low = gathered(below, rows).join(known, below.a == F.col("node")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
         up = known.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
         jumped = low.join(up, low.c == up.n2, "left").select("node", "was", F.coalesce(F.least("c", "c2"), "c").alias("component"))
         changes = Observation()
@@ -50,40 +51,46 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
     """
     shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a"), "shared")
     open_keys = staged(keys.join(near(shared), "key"), "keys")
-    pairs = staged(open_keys.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links, tested = staged(confirm(pairs), "links"), pairs
+    rows = open_keys.staged_rows
+    pairs = staged(gathered(open_keys.where("node <> a").select("a", F.col("node").alias("b")).distinct(), rows), "pairs")
+    links, tested = staged(gathered(confirm(pairs), pairs.staged_rows), "links"), pairs
+    n_links, n_tested = links.staged_rows, pairs.staged_rows
     for turn in range(HUB_ROUNDS + 1):
         groups = components(links)
         at = open_keys.join(near(groups), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        parts = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-        sizes = staged(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max_by("component", F.struct("n", "least")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "sizes")
-        row = sizes.agg(F.sum(F.expr("(n * n - n2) / 2")).alias("cross"), F.sum("n").alias("nodes")).first()
-        if not row.cross:
+        parts = gathered(at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), rows)
+        sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max_by("component", F.struct("n", "least")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        left_over = Observation()
+        sizes = staged(gathered(sizes, rows).observe(left_over, F.sum(F.expr("(n * n - n2) div 2")).alias("cross"), F.sum("n").alias("nodes")), "sizes")
+        cross, nodes = left_over.get.get("cross"), left_over.get.get("nodes")
+        if not cross:
             break
-        at = at.join(near(sizes.select("key", "main")), "key")
-        last = turn == HUB_ROUNDS or row.cross <= max(least_cross, row.nodes)
+        at = staged(gathered(at.join(near(sizes.select("key", "main"), sizes.staged_rows), "key"), nodes), "open")
+        last = turn == HUB_ROUNDS or cross <= max(least_cross, nodes)
         if last:
             left = at.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
             right = at.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("main"))
             # Pairs of two components beside the main one are made once, from the lesser.
-            new = left.join(right, "key").where("ca <> cb AND (cb = main OR a < b)").select("a", "b")
+            new = near(left, nodes).join(right, "key").where("ca <> cb AND (cb = main OR a < b)").select("a", "b")
         else:
             # The hub is the node with most links so far, or the least by a hash that changes with each round.
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-            ranked = at.join(degree, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+            degree = gathered(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d")), 2 * n_links)
+            ranked = at.join(near(degree, 2 * n_links), "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
             order = F.struct("d", F.xxhash64("node", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "d")
-            hub = ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("hub")).select("key", "hub.*")
+            hub = gathered(ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("hub")), sizes.staged_rows).select("key", "hub.*")
             hub = hub.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            new = at.join(hub, "key").where("ca <> component").select("a", F.col("node").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(near(tested), ["a", "b"], "left_anti")
-        new = staged(new, "pairs")
-        if not new.limit(1).count():
+            new = at.join(near(hub, sizes.staged_rows), "key").where("ca <> component").select("a", F.col("node").alias("b"))
+        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = staged(gathered(new, cross if last else nodes).join(near(tested, n_tested), ["a", "b"], "left_anti"), "pairs")
+        if not new.staged_rows:
             if last:
                 break
             continue
-        found = staged(confirm(new), "links")
+        found = staged(gathered(confirm(new), new.staged_rows), "links")
+        n_links, n_tested = n_links + found.staged_rows, n_tested + new.staged_rows
         links, tested = links.union(found), tested.union(new)
+        links.staged_rows = n_links
         if last:
-            groups = components(links) if found.limit(1).count() else groups
+            groups = components(links) if found.staged_rows else groups
             break
     return groups, links

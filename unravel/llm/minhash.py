@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_pass, binary, near, staged
+from .common import arrow_pass, binary, gathered, near, staged
 from .linking import linked
 
 ROWS, BANDS, BITS, CORE = 6, 45, 4, 256
@@ -145,8 +145,8 @@ def shingle_set(text: bytes | None, width: int) -> set:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles, from the full ``texts`` (node, text),
-    have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    have 100 * intersection >= percent * union. ``pairs`` is staged."""
+    nodes = gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.staged_rows)
     used = staged(texts.join(near(staged(nodes, "nodes")), "node", "left_semi"), "texts")
     both = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     kind = pairs.schema["a"].dataType.simpleString()
@@ -175,18 +175,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = staged(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = rows.join(classes, (rows.doc_id == classes.class_id) & (rows.d1 == classes.d1) & (rows.d2 == classes.d2), "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     heads = staged(heads.select(F.col("doc_id").alias("node"), "n_shingles", "planes", "bands"), "heads")
-    keys = heads.select(F.explode("bands").alias("key"), "node").distinct()
+    keys = heads.select(F.explode(F.array_distinct("bands")).alias("key"), "node")
     cut = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / CORE) ** 0.5 / (1 - 1 / (1 << BITS))
     texts = base.select(F.col("doc_id").alias("node"), "text")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
-        both = side("b").join(side("a").join(near(pairs), "a"), "b")
+        both = side("b").join(near(side("a").join(near(pairs), "a"), pairs.staged_rows), "b")
         may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (similarity_estimate(F.col("pa"), F.col("pb")) >= cut)
-        return confirmed(staged(both.where(may).select("a", "b").distinct(), "candidates"), texts, width, percent)
+        return confirmed(staged(gathered(both.where(may).select("a", "b").distinct(), pairs.staged_rows), "candidates"), texts, width, percent)
 
     groups, _ = linked(keys, confirm)
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(near(groups.withColumnRenamed("node", "class_id")), "class_id", "left")
+    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(near(groups.withColumnRenamed("node", "class_id"), groups.staged_rows), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
