@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from .common import gathered, near, staged
 
-#: Rounds of hubs before the rest is checked pair by pair.
-HUB_ROUNDS = 4
+#: Rounds of hubs before the rest is checked pair by pair, and the share of a round's
+#: pairs that must hold for another round to be worth while.
+HUB_ROUNDS, HUB_GAIN = 4, 0.02
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
 
     ``confirm`` takes distinct pairs (a, b), a <> b, and returns those that hold.
     The pairwise check begins once the pairs left are at most ``least_cross`` or
-    as many as the nodes of open keys, or after HUB_ROUNDS.
+    as many as the nodes of open keys, after HUB_ROUNDS, or when a round of hubs
+    links little: what is left is then mostly unlike.
     """
     shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a"), "shared")
     open_keys = staged(keys.join(near(shared), "key"), "keys")
@@ -55,6 +57,7 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
     pairs = staged(gathered(open_keys.where("node <> a").select("a", F.col("node").alias("b")).distinct(), rows), "pairs")
     links, tested = staged(gathered(confirm(pairs), pairs.staged_rows), "links"), pairs
     n_links, n_tested = links.staged_rows, pairs.staged_rows
+    fruitless = False
     for turn in range(HUB_ROUNDS + 1):
         groups = components(links)
         at = open_keys.join(near(groups), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -66,7 +69,7 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
         if not cross:
             break
         at = staged(gathered(at.join(near(sizes.select("key", "main"), sizes.staged_rows), "key"), nodes), "open")
-        last = turn == HUB_ROUNDS or cross <= max(least_cross, nodes)
+        last = fruitless or turn == HUB_ROUNDS or cross <= max(least_cross, nodes)
         if last:
             left = at.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
             right = at.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("main"))
@@ -85,8 +88,10 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cro
         if not new.staged_rows:
             if last:
                 break
+            fruitless = True
             continue
         found = staged(gathered(confirm(new), new.staged_rows), "links")
+        fruitless = found.staged_rows < HUB_GAIN * new.staged_rows
         n_links, n_tested = n_links + found.staged_rows, n_tested + new.staged_rows
         links, tested = links.union(found), tested.union(new)
         links.staged_rows = n_links
