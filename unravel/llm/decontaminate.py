@@ -1,10 +1,11 @@
 """Passages of test items in training documents, edited copies included.
 
-Every item's word trigrams are counted over all documents; an item's rarest half
-are its seeds. A document that holds a seed is aligned with the item around its
-seeds (Smith-Waterman over words), and the alignment's score, as a share of the
-item's own, decides. Rarity is relative to the item, so a passage that leaked into
-many documents keeps its seeds.
+All word pairs of an item are its seeds. A document is aligned with the item
+(Smith-Waterman over words) where enough of its seeds lie together, and the
+alignment's score, as a share of the item's own, decides. Enough is what no alignment
+of that score can do without: M matched words and E edits score 2 M - E and leave at
+least M - 1 - E pairs whole, so S - 1 - n of an item of n words at score S. Where that
+may be none (items of up to five words at 0.6), the seeds are single words.
 
 Items are a stated query set: they are held in blocks of at most about BLOCK items,
 each block against all documents. Words are lower-cased runs without ASCII
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_schema, binary, slices, staged
 
-GRAM = 3
+GRAM, LEAST = 2, 3
 BLOCK = 20_000
 MIN_SCORE = 0.6
 MATCH, MISMATCH, SKIP = 2.0, -1.0, -1.0
@@ -38,10 +39,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """The trigrams of a block of items. ``seeds``: of each trigram, the items whose
-    seed it is; before ``choose``, of none."""
+    """The word pairs of a block of items, and which items have each. ``need``: the
+    seeds of an item that lie together in any alignment of its least score;
+    ``span``: the words of a text that such an alignment covers at most."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], min_score: float):
         self.items = [(i, words_of(t)) for i, t in items]
         self.vocab: dict[bytes, int] = {}
         for _, words in self.items:
@@ -51,11 +53,20 @@ class Index:
         if self.base**GRAM >= 2**63:
             raise ValueError("a block has too many different words; take fewer items a block")
         self.words = [np.array([self.vocab[w] for w in words], dtype=np.int64) for _, words in self.items]
-        grams = [np.unique(self.grams(w)) for w in self.words]
+        n = np.array([len(w) for w in self.words], dtype=np.int64)
+        least = min_score * MATCH * n
+        self.need = np.maximum(np.ceil(least - 1 - n - 1e-9), 1).astype(np.int64)
+        self.span = np.ceil((MATCH + 1) * n - least + 1e-9).astype(np.int64)
+        single = least <= n + 1 + 1e-9
+        # Single words as seeds have the codes of pairs with nothing.
+        grams = [np.empty(0, dtype=np.int64) if len(w) < LEAST else np.unique(w) if one else np.unique(self.grams(w)) for w, one in zip(self.words, single, strict=True)]
+        self.singles = bool(single.any())
         self.codes = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *grams]))
-        self.own = [np.searchsorted(self.codes, g) for g in grams]
-        self.seeds: dict[int, list[int]] = {}
-        self.is_seed = np.ones(len(self.codes), dtype=bool)
+        of = np.concatenate([np.empty(0, dtype=np.int64), *(np.searchsorted(self.codes, g) for g in grams)])
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(of, kind="stable")
+        self.owner, self.many = owner[order], np.bincount(of, minlength=len(self.codes))
+        self.start = np.cumsum(self.many) - self.many
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < GRAM:
@@ -74,25 +85,37 @@ class Index:
         return np.array([get(w, 0) for w in words], dtype=np.int64)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, trigram numbers) of what is found in a text."""
+        """(positions, seed numbers) of what is found in a text."""
         code = self.grams(ids)
         at = np.flatnonzero(code >= 0)
+        code = code[at]
+        if self.singles:
+            known = np.flatnonzero(ids > 0)
+            at, code = np.concatenate([at, known]), np.concatenate([code, ids[known]])
         if not len(at) or not len(self.codes):
             return at[:0], at[:0]
-        code = code[at]
         n = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        found = (self.codes[n] == code) & self.is_seed[n]
+        found = self.codes[n] == code
         return at[found], n[found]
 
-    def choose(self, counts: dict[int, int], least: int = 4) -> None:
-        seeds = defaultdict(list)
-        for k, own in enumerate(self.own):
-            ranked = sorted(own.tolist(), key=lambda g: (counts.get(g, 0), g))
-            for g in ranked[: max(least, (len(ranked) + 1) // 2)]:
-                seeds[g].append(k)
-        self.seeds = dict(seeds)
-        self.is_seed = np.zeros(len(self.codes), dtype=bool)
-        self.is_seed[list(seeds)] = True
+    def places(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Of each item with enough seeds together in a text, (first, last) positions
+        of such."""
+        at, n = self.hits(ids)
+        many = self.many[n]
+        total = int(many.sum())
+        nth = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+        item, place = self.owner[np.repeat(self.start[n], many) + nth], np.repeat(at, many)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        last = np.arange(total) + self.need[item] - 1
+        near = np.flatnonzero(last < total)
+        near = near[item[last[near]] == item[near]]
+        near = near[place[last[near]] - place[near] <= self.span[item[near]]]
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, x, y in zip(item[near].tolist(), place[near].tolist(), place[last[near]].tolist(), strict=True):
+            out[k].append((x, y))
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -114,21 +137,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
 
 def matches(index: Index, ids: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
     """(item number, score, first word, end) of the items in a text, best each."""
-    at, grams = index.hits(ids)
-    places: dict[int, list[int]] = defaultdict(list)
-    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for k in index.seeds[g]:
-            places[k].append(p)
     out = []
-    for k, found in places.items():
+    for k, found in index.places(ids).items():
         item = index.words[k]
         n, best = len(item), None
         counts = Counter(item.tolist())
         spans: list[list[int]] = []
-        for p in found:
-            low, high = max(p - n, 0), p + n + GRAM
+        reach = int(index.span[k])
+        for x, y in found:
+            low, high = max(x - reach, 0), y + reach + GRAM
             if spans and low <= spans[-1][1]:
-                spans[-1][1] = high
+                spans[-1][1] = max(high, spans[-1][1])
             else:
                 spans.append([low, high])
         for low, high in spans:
@@ -153,24 +172,11 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
     queries = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-queries.count() // block))
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
-    arrow, count_arrow = arrow_schema(schema), arrow_schema("gram long, n long")
+    arrow = arrow_schema(schema)
     found = []
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = Index([(r.item_id, r.text.encode()) for r in rows])
-        sent = spark.sparkContext.broadcast(index)
-
-        def count(batches, sent=sent):
-            index, n = sent.value, np.zeros(len(sent.value.codes), dtype=np.int64)
-            for part in slices(batches):
-                for text in binary(part.column(0)):
-                    n[np.unique(index.hits(index.ids(words_of(text)))[1])] += 1
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], schema=count_arrow)
-
-        totals = base.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        index.choose({r.gram: r.n for r in totals.collect()})  # at most the block's trigrams
-        chosen = spark.sparkContext.broadcast(index)
+        chosen = spark.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in rows], min_score))
 
         def search(batches, chosen=chosen):
             index = chosen.value
