@@ -183,21 +183,14 @@ pooled("bridges", "SELECT graph_id, src, dst FROM edges WHERE (graph_id, edge_id
 pooled("cycle_vertices", "SELECT graph_id, id FROM cyc", BRIDGE_SQL)(lambda p: cycles.cycle_vertices(p.edges))
 pooled("cnr", "SELECT graph_id, n, CAST(count(id) AS BIGINT) cyclic, round(count(id) / CAST(n AS DOUBLE), 6) cnr FROM counts LEFT JOIN cyc USING (graph_id) GROUP BY 1, 2", BRIDGE_SQL)(lambda p: rounded(cycles.cycle_ratio(p.edges, p.counts).drop("m"), "cnr"))
 pooled("two_core", loops=True)(lambda p: cycles.two_core(p.edges))
-pooled("decycle_greedy")(lambda p: policies.decycle_order(p.edges, 50))
+pooled("decycle_greedy")(lambda p: policies.decycle_order(p.edges))
 for _name, _centrality in (("hda", "degree"), ("hpra", "pagerank"), ("hca", "closeness"), ("hba", "betweenness")):
-    pooled(_name, loops=True)(lambda p, c=_centrality: policies.adaptive_order(cycle_core(p), c, 3))
-pooled("betweenness_core", loops=True)(lambda p: rounded(policies.centrality(cycle_core(p), "betweenness"), "score"))
+    pooled(_name, loops=True)(lambda p, c=_centrality: policies.adaptive_order(p.edges, c))
+pooled("betweenness_core", loops=True)(lambda p: rounded(policies.centrality(p.edges, "betweenness"), "score"))
 pooled("random_policy")(lambda p: policies.random_order(p.vertices, 7))
 pooled("reinsert_order")(lambda p: policies.reinsert_order(p.edges, p.removals.select("graph_id", F.col("step").alias("pos"), "id"), "rank", 0.01))
 
 
-def cycle_core(p: Pool) -> DataFrame:
-    """The edges whose ends have at least six neighbours, a small dense part for the
-    all-pairs centralities."""
-    few = p.degrees.where("degree >= 6").select("graph_id", "id")
-    return p.edges.join(few.withColumnRenamed("id", "src"), ["graph_id", "src"]).join(few.withColumnRenamed("id", "dst"), ["graph_id", "dst"])
-
-
 # Replay
 N = STEPS
 NSTEP_SQL = f"""SELECT episode, step, action, reward, round(sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) suffix_sum, round(sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING), 6) nstep_return,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,31 +68,72 @@ def closeness_scores(near: Graph) -> dict[int, float]:
 
 
 def pagerank_scores(near: Graph, damping: float = 0.85, tolerance: float = 1e-10, most: int = 200) -> dict[int, float]:
-    n = len(near)
-    rank = dict.fromkeys(near, 1 / n) if n else {}
-    for _ in range(most):
-        loose = sum(rank[v] for v, ws in near.items() if not ws)
-        new = {v: (1 - damping) / n + damping * (loose / n + sum(rank[w] / len(near[w]) for w in near[v])) for v in near}
-        moved = sum(abs(new[v] - rank[v]) for v in near)
+    n, at = len(near), {v: i for i, v in enumerate(near)}
+    degree = np.array([len(ws) for ws in near.values()], dtype=np.int64)
+    end, other = np.repeat(np.arange(n), degree), np.array([at[w] for ws in near.values() for w in ws], dtype=np.int64)
+    rank, loose, shared = np.full(n, 1 / n if n else 0.0), degree == 0, np.maximum(degree, 1)
+    for _ in range(most if n else 0):
+        new = (1 - damping) / n + damping * (rank[loose].sum() / n + np.bincount(end, (rank / shared)[other], n))
+        moved = np.abs(new - rank).sum()
         rank = new
         if moved < tolerance * n:
             break
-    return rank
+    return dict(zip(near, rank.tolist(), strict=True))
 
 
 SCORES: dict[str, Callable[[Graph], dict[int, float]]] = {"degree": degree_scores, "betweenness": betweenness_scores, "closeness": closeness_scores, "pagerank": pagerank_scores}
 
 
-def adaptive(near: Graph, score: Callable[[Graph], dict[int, float]], most: int) -> list[int]:
+#: Scores of a vertex that depend on its component alone, but for a factor by the size
+#: of the graph: 1 / the factor for n vertices.
+WITHIN: dict[Callable, Callable[[int], int]] = {degree_scores: lambda n: 1, betweenness_scores: lambda n: (n - 1) * (n - 2), closeness_scores: lambda n: n - 1}
+
+
+def reached(near: Graph, todo: list[int]) -> set[int]:
+    seen = set(todo)
+    while todo:
+        new = near[todo.pop()] - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def adaptive(near: Graph, score: Callable[[Graph], dict[int, float]], most: int | None = None) -> list[int]:
     """Remove the best vertex of the residual graph, ties to the least id, ``most``
-    times; scores are made anew each time."""
+    times or until none is left; scores are made anew each time, those in WITHIN only
+    where the removal can have changed them."""
     near, out = {v: set(ws) for v, ws in near.items()}, []
-    while near and len(out) < most:
-        scores = score(near)
-        v = min(near, key=lambda x: (-round(scores[x], 12), x))
-        for w in near.pop(v):
+    over = WITHIN.get(score)
+    kept: dict[int, float] = {}
+
+    def renew(part: set[int]) -> None:
+        k = over(len(part))
+        kept.update((v, x * k) for v, x in score({v: near[v] for v in part}).items())
+
+    if over:
+        todo = set(near)
+        while todo:
+            part = reached(near, [next(iter(todo))])
+            renew(part)
+            todo -= part
+    while near and (most is None or len(out) < most):
+        if over:
+            k = max(over(len(near)), 1)
+            v = min(near, key=lambda x: (-round(kept[x] / k, 12), x))
+        else:
+            scores = score(near)
+            v = min(near, key=lambda x: (-round(scores[x], 12), x))
+        touched = near.pop(v)
+        for w in touched:
             near[w].discard(v)
         out.append(v)
+        if score is degree_scores:
+            renew(touched)
+        elif over:
+            while touched:
+                part = reached(near, [next(iter(touched))])
+                renew(part)
+                touched = touched - part
     return out
 
 
@@ -105,7 +147,7 @@ def per_graph(edges: DataFrame, fn: Callable[[Graph], list[int]]) -> DataFrame:
     return edges.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(run, SOLUTION)
 
 
-def adaptive_order(edges: DataFrame, centrality: str, most: int) -> DataFrame:
+def adaptive_order(edges: DataFrame, centrality: str, most: int | None = None) -> DataFrame:
     if centrality not in SCORES:
         raise ValueError(f"unknown centrality: {centrality}")
     return per_graph(edges, lambda near: adaptive(near, SCORES[centrality], most))
