@@ -116,7 +116,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     found = []
     for rank, rule in enumerate(rules):
         if trigram_query(rule):
-            test = F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False))
+            # A row without an id meets no posting and is scanned whole.
+            test = F.col("doc_id").isNull() | F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False))
         else:
             test = F.regexp_like("text", F.lit(rule.pattern))
         found.append(F.when(test, spans_of(F.col("text"), rule, rank)).otherwise(none))
