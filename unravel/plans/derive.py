@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,19 +14,31 @@ from ..functions import edge_probability
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a session without one (tests) gets a
-    temporary folder."""
+    """The folder of ``spark.checkpoint.dir``. A local session without one (tests) gets
+    a temporary folder; on a cluster that folder would not be shared, so it raises."""
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="unravel-"))
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_path(df.sparkSession))
-    return df.checkpoint()
+    """``df`` as a table in the shared folder, read back. The result outlives any
+    executor and has the table's own size as its statistics: in a loop, a checkpoint
+    would keep its plan's estimate, whose digits double with every self-join."""
+    path = f"{shared_path(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table of ``cut``; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
