@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..plans.derive import shared_path
+
 #: Rows that a Python pass unpacks at a time; an Arrow batch may hold more.
 SLICE = 256
 
@@ -16,14 +17,10 @@ SLICE = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only a session without one (tests, a
-    single machine) gets a temporary folder of its own.
+    Read from ``spark.checkpoint.dir``; only a local session without one (tests) gets
+    a temporary folder of its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="unravel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return shared_path(spark)
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -35,16 +32,17 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     rows = Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.staged_rows = rows.get.get("n") or 0
+    out.staged_rows, out.staged_path = rows.get.get("n") or 0, path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``staged`` wrote in this application. Results that
-    still read them must have been consumed or written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/unravel-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``staged`` that nothing will read any more."""
+    for df in tables:
+        if path := df.__dict__.get("staged_path"):
+            spark = df.sparkSession
+            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def binary(column: pa.Array) -> list[bytes | None]:

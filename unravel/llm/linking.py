@@ -1,101 +1,142 @@
 """Groups of similar rows from shared keys, without all pairs of a key.
 
-Rows that share a key are candidates. Each key names a hub, its least node, and the
-others are checked against it; confirmed links give components. Keys whose nodes
-still lie in several components get further hubs, then every pair of different
-components that was not yet checked. A pair within one component is never checked:
-it can't change the components. No candidate is dropped.
+Rows that share a key are candidates. In each key the most central node, the one whose
+keys have most nodes, is the hub and the others are checked against it; confirmed links
+give components. A hub then leaves its key: it has been checked against all others
+there. A key is done once its other nodes lie in one component, since a pair within
+a component can't change it. Rounds go on while they link enough.
+
+Nodes of keys that are still open get finer keys (``refine``), which tell unlike nodes
+apart, and the same rounds; pairs that still share an open key and are in different
+components are joined under ``may``, a bound that no pair to be confirmed fails, and
+checked too. No candidate is dropped; pairs that fail the bound are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from .common import gathered, near, staged
+from ..operators.components import settled
+from .common import gathered, near, release, staged
 
-#: Rounds of hubs before the rest is checked pair by pair, and the share of a round's
-#: pairs that must hold for another round to be worth while.
-HUB_ROUNDS, HUB_GAIN = 4, 0.02
+#: Rounds of hubs for a set of keys, and the share of a round's pairs that must hold for
+#: another round to be worth while.
+HUB_ROUNDS, HUB_GAIN = 4, 0.05
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that it reaches) of nodes with links (a, b).
-
-    Least labels are passed along links and then jump to their label's label, until
-    none changes: few rounds for stars, about log of the length for chains. Hot
-    nodes are summed before the shuffle.
-    """
+    """node, component (the least node that it reaches) of nodes with links (a, b)."""
     rows = 2 * (links.staged_rows if hasattr(links, "staged_rows") else links.count())
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    labels = staged(gathered(labels, rows), "labels")
-    while True:
-        known = near(labels)
-        below = both.join(known.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = gathered(below, rows).join(known, below.a == F.col("node")).select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        up = known.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        jumped = low.join(up, low.c == up.n2, "left").select("node", "was", F.coalesce(F.least("c", "c2"), "c").alias("component"))
-        changes = Observation()
-        labels = staged(jumped.observe(changes, F.count_if(F.expr("component <> was")).alias("n")).select("node", "component"), "labels")
-        if not changes.get.get("n"):
-            return labels
-
-
-def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], least_cross: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(components, links) from rows (key, node), distinct.
-
-    ``confirm`` takes distinct pairs (a, b), a <> b, and returns those that hold.
-    The pairwise check begins once the pairs left are at most ``least_cross`` or
-    as many as the nodes of open keys, after HUB_ROUNDS, or when a round of hubs
-    links little: what is left is then mostly unlike.
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    arcs = links.select(F.explode(ends).alias("e")).select("e.*")
+    first = staged(gathered(arcs.select(F.col("src").alias("id")).distinct(), rows).select("id", F.col("id").alias("comp")), "labels")
+    few = lambda df: near(df, rows)
+    out = settled(first, arcs, (), lambda df: staged(gathered(df, rows), "labels"), release, few)
+    out = out.select(F.col("id").alias("node"), F.col("comp").alias("component"))
+    out.staged_rows = rows
+    return out
+
+
+def shared_rows(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (key, node, x) whose key several nodes have, with rank: the
+    nodes that its node meets in all its keys. Staged."""
+    counts = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    rows = staged(keys.join(near(counts), "key"), "keys")
+    rank = rows.groupBy("node").agg(F.sum("n").alias("rank"))
+    out = staged(gathered(rows.drop("n").join(near(rank, rows.staged_rows), "node"), rows.staged_rows), "ranked")
+    release(rows)
+    return out
+
+
+def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], first_may: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(components, links) from rows (key, node, x), distinct by key and node.
+
+    ``confirm`` takes distinct pairs (a < b) and returns those that hold; ``refine``
+    gives such rows of the nodes (node) of open keys; ``may`` is the bound on the
+    structs x of two rows of a refined key, ``first_may`` that of the first keys.
     """
-    shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").select("key", "a"), "shared")
-    open_keys = staged(keys.join(near(shared), "key"), "keys")
-    rows = open_keys.staged_rows
-    pairs = staged(gathered(open_keys.where("node <> a").select("a", F.col("node").alias("b")).distinct(), rows), "pairs")
-    links, tested = staged(gathered(confirm(pairs), pairs.staged_rows), "links"), pairs
-    n_links, n_tested = links.staged_rows, pairs.staged_rows
-    fruitless = False
-    for turn in range(HUB_ROUNDS + 1):
-        groups = components(links)
-        at = open_keys.join(near(groups), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        parts = gathered(at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), rows)
-        sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max_by("component", F.struct("n", "least")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        left_over = Observation()
-        sizes = staged(gathered(sizes, rows).observe(left_over, F.sum(F.expr("(n * n - n2) div 2")).alias("cross"), F.sum("n").alias("nodes")), "sizes")
-        cross, nodes = left_over.get.get("cross"), left_over.get.get("nodes")
-        if not cross:
+    links = tested = groups = None
+    for level in range(2):
+        bound = may if level else first_may
+        rows = shared_rows(keys)
+        if not rows.staged_rows:
             break
-        at = staged(gathered(at.join(near(sizes.select("key", "main"), sizes.staged_rows), "key"), nodes), "open")
-        last = fruitless or turn == HUB_ROUNDS or cross <= max(least_cross, nodes)
-        if last:
-            left = at.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            right = at.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("main"))
-            # Pairs of two components beside the main one are made once, from the lesser.
-            new = near(left, nodes).join(right, "key").where("ca <> cb AND (cb = main OR a < b)").select("a", "b")
-        else:
-            # The hub is the node with most links so far, or the least by a hash that changes with each round.
-            degree = gathered(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d")), 2 * n_links)
-            ranked = at.join(near(degree, 2 * n_links), "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-            order = F.struct("d", F.xxhash64("node", F.lit(turn))) if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "d")
-            hub = gathered(ranked.groupBy("key").agg(F.max_by(F.struct("node", "component"), order).alias("hub")), sizes.staged_rows).select("key", "hub.*")
-            hub = hub.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            new = at.join(near(hub, sizes.staged_rows), "key").where("ca <> component").select("a", F.col("node").alias("b"))
-        new = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = staged(gathered(new, cross if last else nodes).join(near(tested, n_tested), ["a", "b"], "left_anti"), "pairs")
-        if not new.staged_rows:
-            if last:
+        for turn in range(HUB_ROUNDS if level else 1):
+            if groups is not None:
+                rows = opened(rows, groups)
+                if not rows.staged_rows:
+                    break
+            order = F.struct("rank", "node") if turn % 2 == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+            hubs = gathered(rows.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("h"), F.col("x").alias("hx")), order).alias("hub")), rows.staged_rows).select("key", "hub.*")
+            hubs = staged(hubs, "hubs")
+            on = rows.join(near(hubs), "key").where("node <> h")
+            unlike = on if groups is None else on.join(near(hub_groups(groups, "h", "hc"), groups.staged_rows), "h", "left").where("component <> coalesce(hc, h)")
+            pairs = unlike.where(bound(F.col("x"), F.col("hx"))) if bound else unlike
+            new = fresh(pairs.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")), tested, rows.staged_rows)
+            found = checked(confirm, new)
+            tested, links = merged(tested, new), merged(links, found)
+            left = staged(gathered(on.select(*rows.columns), rows.staged_rows), "left")
+            release(rows)
+            rows = left
+            groups = components(links)
+            if found.staged_rows <= HUB_GAIN * new.staged_rows:
                 break
-            fruitless = True
-            continue
-        found = staged(gathered(confirm(new), new.staged_rows), "links")
-        fruitless = found.staged_rows < HUB_GAIN * new.staged_rows
-        n_links, n_tested = n_links + found.staged_rows, n_tested + new.staged_rows
-        links, tested = links.union(found), tested.union(new)
-        links.staged_rows = n_links
-        if last:
-            groups = components(links) if found.staged_rows else groups
+        rows = opened(rows, groups)
+        if not rows.staged_rows:
             break
+        if level:
+            left = rows.select("key", F.col("node").alias("l"), F.col("component").alias("lc"), F.col("x").alias("lx"))
+            right = rows.select("key", F.col("node").alias("r"), F.col("component").alias("rc"), F.col("x").alias("rx"), "main")
+            # Pairs of two components beside the main one are made once, from the lesser.
+            once = F.expr("lc <> rc") & (F.expr("rc = main") | F.expr("l < r"))
+            pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("lc") != F.col("main")) & once & may(F.col("lx"), F.col("rx")))
+            new = fresh(pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")), tested, rows.staged_rows)
+            found = checked(confirm, new)
+            if found.staged_rows:
+                links = merged(links, found)
+                groups = components(links)
+        else:
+            keys = refine(rows)
+    if links is None:
+        kind = keys.schema["node"].dataType
+        links = staged(keys.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
+        groups = links.select(F.col("a").cast(kind).alias("node"), F.col("b").alias("component"))
+        groups.staged_rows = 0
     return groups, links
+
+
+def hub_groups(groups: DataFrame, node: str, component: str) -> DataFrame:
+    return groups.select(F.col("node").alias(node), F.col("component").alias(component))
+
+
+def opened(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of keys whose nodes lie in several components, with component and main,
+    the key's component of most nodes. Releases ``rows``."""
+    keep = [c for c in rows.columns if c not in ("component", "main")]
+    at = rows.select(*keep).join(near(groups, groups.staged_rows), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"))
+    several = staged(gathered(several, rows.staged_rows), "open")
+    out = staged(gathered(at.join(near(several), "key").select(*keep, "component", "main"), rows.staged_rows), "left")
+    release(rows)
+    return out
+
+
+def fresh(pairs: DataFrame, tested: DataFrame | None, rows: int) -> DataFrame:
+    """Distinct pairs that aren't in ``tested``; staged."""
+    pairs = gathered(pairs.distinct(), rows)
+    return staged(pairs if tested is None else pairs.join(near(tested), ["a", "b"], "left_anti"), "pairs")
+
+
+def checked(confirm: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
+    return staged(confirm(pairs), "links")  # not gathered: a pair may hold two long texts
+
+
+def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    if old is None:
+        return new
+    out = old.union(new)
+    out.staged_rows = old.staged_rows + new.staged_rows
+    return out
