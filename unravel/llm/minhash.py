@@ -7,7 +7,9 @@ are scored by counting bits, corrected for chance agreement, and those that may
 reach the threshold are confirmed on their full sets.
 
 With 45 bands of 6 minima a pair at similarity 0.8 shares no band with probability
-1e-6; the estimate's cut lies six standard deviations below the threshold.
+1e-6; the estimate's cut lies six standard deviations below the threshold. Nodes of
+bands that a hub leaves open are compared by their rarest shingles, with a bound on
+places, which finds all pairs among them.
 
 Edge cases: a null, empty or blank text has no shingles and is linked with nothing; a
 text with fewer words than a shingle is one shingle; rows that repeat a doc_id count
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_pass, binary, gathered, near, staged
+from .common import arrow_pass, binary, gathered, near, release, staged
 from .linking import linked
 
 ROWS, BANDS, BITS, CORE = 6, 45, 4, 256
@@ -145,9 +147,9 @@ def shingle_set(text: bytes | None, width: int) -> set:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles, from the full ``texts`` (node, text),
-    have 100 * intersection >= percent * union. ``pairs`` is staged."""
-    nodes = gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.staged_rows)
-    used = staged(texts.join(near(staged(nodes, "nodes")), "node", "left_semi"), "texts")
+    have 100 * intersection >= percent * union. ``pairs`` is staged, and the result."""
+    nodes = staged(gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * pairs.staged_rows), "nodes")
+    used = staged(texts.join(near(nodes), "node", "left_semi"), "texts")
     both = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -163,7 +165,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 out["b"].append(b)
         return out
 
-    return arrow_pass(both.select("a", "b", "ta", "tb"), check, f"a {kind}, b {kind}").distinct()
+    out = staged(arrow_pass(both.select("a", "b", "ta", "tb"), check, f"a {kind}, b {kind}").distinct(), "confirmed")
+    release(nodes, used)
+    return out
+
+
+def rare_prefixes(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """key (a shingle), node, x (its place in the node's set, rarest first, and the set's
+    size) of the rarest shingles of the nodes of ``rows``, as many as two sets at
+    the threshold must share one of; shingles of a single node are counted, but give no
+    row. Frequencies are those among these nodes."""
+    nodes = staged(gathered(rows.select("node").distinct(), rows.staged_rows), "opennodes")
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def hashes(part: pa.RecordBatch) -> dict[str, list]:
+        sets = [shingle_hashes((t or b"").lower().split(), width).view(np.int64) for t in binary(part.column(1))]
+        return {"node": part.column(0), "shingles": sets}
+
+    sets = staged(arrow_pass(texts.join(near(nodes), "node", "left_semi").select("node", "text"), hashes, f"node {kind}, shingles array<long>").dropDuplicates(["node"]), "sets")
+    each = sets.select("node", F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = each.join(often, "key", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("s"))
+    size = F.size("s")
+    prefix = F.slice("s", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
+    placed = ranked.select("node", size.alias("size"), F.posexplode(prefix).alias("at", "s")).where("s.n > 1")
+    out = staged(placed.select("s.key", "node", F.struct("at", F.col("size").alias("n")).alias("x")), "prefixes")
+    release(nodes, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = staged(rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
     heads = rows.join(classes, (rows.doc_id == classes.class_id) & (rows.d1 == classes.d1) & (rows.d2 == classes.d2), "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     heads = staged(heads.select(F.col("doc_id").alias("node"), "n_shingles", "planes", "bands"), "heads")
-    keys = heads.select(F.explode(F.array_distinct("bands")).alias("key"), "node")
+    keys = heads.select(F.explode(F.array_distinct("bands")).alias("key"), "node", F.struct(F.col("n_shingles").alias("n")).alias("x"))
     cut = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / CORE) ** 0.5 / (1 - 1 / (1 << BITS))
     texts = base.select(F.col("doc_id").alias("node"), "text")
 
@@ -183,9 +211,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("planes").alias(f"p{s}"))
         both = side("b").join(near(side("a").join(near(pairs), "a"), pairs.staged_rows), "b")
         may = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (similarity_estimate(F.col("pa"), F.col("pb")) >= cut)
-        return confirmed(staged(gathered(both.where(may).select("a", "b").distinct(), pairs.staged_rows), "candidates"), texts, width, percent)
+        candidates = staged(gathered(both.where(may).select("a", "b").distinct(), pairs.staged_rows), "candidates")
+        out = confirmed(candidates, texts, width, percent)
+        release(candidates)
+        return out
 
-    groups, _ = linked(keys, confirm)
+    # Two sets at the threshold are of like sizes; if their first common shingle in the
+    # order of rarity has these places, what follows can still be common.
+    sizes = lambda l, r: 100 * F.least(l["n"], r["n"]) >= percent * F.greatest(l["n"], r["n"])
+    places = lambda l, r: sizes(l, r) & ((100 + percent) * F.least(l["n"] - l["at"], r["n"] - r["at"]) >= percent * (l["n"] + r["n"]))
+    groups, _ = linked(keys, confirm, lambda rows: rare_prefixes(rows, texts, width, percent), places, sizes)
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(near(groups.withColumnRenamed("node", "class_id"), groups.staged_rows), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
