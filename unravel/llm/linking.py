@@ -39,6 +39,24 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``components`` of all links so far from those without ``links`` and the new
+    ``links``: only the merges of components are searched."""
+    if groups is None:
+        return components(links)
+    if not links.staged_rows:
+        return groups
+    at = lambda s: near(hub_groups(groups, s, f"c{s}"), groups.staged_rows)
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merges = staged(gathered(ends.where("a <> b").distinct(), links.staged_rows), "merges")
+    fresh_nodes = gathered(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * links.staged_rows).join(near(groups.select("node"), groups.staged_rows), "node", "left_anti")
+    out = groups.select("node", "component").union(fresh_nodes.select("node", F.col("node").alias("component")))
+    if merges.staged_rows:
+        up = components(merges)
+        out = out.join(near(hub_groups(up, "component", "least"), up.staged_rows), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return staged(out, "groups")
+
+
 def shared_rows(keys: DataFrame) -> DataFrame:
     """The rows of ``keys`` (key, node, x) whose key several nodes have, with rank: the
     nodes that its node meets in all its keys. Staged."""
@@ -80,7 +98,7 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: C
             left = staged(gathered(on.select(*rows.columns), rows.staged_rows), "left")
             release(rows)
             rows = left
-            groups = components(links)
+            groups = grown(groups, found)
             if found.staged_rows <= HUB_GAIN * new.staged_rows:
                 break
         rows = opened(rows, groups)
@@ -94,9 +112,7 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: C
             pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("lc") != F.col("main")) & once & may(F.col("lx"), F.col("rx")))
             new = fresh(pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")), tested, rows.staged_rows)
             found = checked(confirm, new)
-            if found.staged_rows:
-                links = merged(links, found)
-                groups = components(links)
+            links, groups = merged(links, found), grown(groups, found)
         else:
             keys = refine(rows)
     if links is None:
