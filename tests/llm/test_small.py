@@ -323,6 +323,28 @@ def test_toxicity(spark, docs, none):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def test_swap_penalty_acts():
+    """A feature and its swap get like weights under the penalty, and unlike ones without."""
+    draw = random.Random(12)
+    rows = []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        at = sorted({draw.randrange(2, 12), *([0] if draw.random() < (0.6 if y else 0.2) else []), *([12] if y and i % 8 else [])})
+        rows.append((np.array(at), np.array([1 if x == 0 else x for x in at]) if 0 in at else None, y))
+    gap = {p: (lambda w: abs(w[0] - w[1]))(toxicity.newton(rows, 13, swap_penalty=p)[1]) for p in (0.0, 10.0)}
+    assert gap[10.0] < 0.25 * gap[0.0]
+
+
+def test_terms_with_neutral_mentions_are_mined(spark):
+    rows = [(i, f"w{i % 7} " + ("zork " if i % 3 == 0 or i % 10 == 0 else "") + ("vile" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(600)]
+    sample = spark.createDataFrame([r[1:] for r in rows], "text string, y int")
+    found = {w for group in toxicity.mined_terms(sample, 60, 600) for w in group}
+    assert "vile" not in found and all(x == "zork" or x.startswith("w") for x in found)
+    same = spark.createDataFrame([(i // 2, f"text {i}") for i in range(40)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.labelled(same, y, "doc_id", "text", "toxic", 100).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
