@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import batch, cascade, components as comp, cycles, matrix, metrics, policies, replay, residual, robustness
+from .operators import batch, cascade, components as comp, cycles, decycling, matrix, metrics, policies, pool as pools, replay, residual, robustness
 from .plans.derive import Pool, cut, order_pool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,24 @@ loops AS (SELECT DISTINCT graph_id, edge_id, src, dst FROM walk WHERE seen = dst
 pooled("bridges", "SELECT graph_id, src, dst FROM edges WHERE (graph_id, edge_id) NOT IN (SELECT (graph_id, edge_id) FROM loops)", BRIDGE_SQL)(lambda p: cycles.bridges(p.edges))
 pooled("cycle_vertices", "SELECT graph_id, id FROM cyc", BRIDGE_SQL)(lambda p: cycles.cycle_vertices(p.edges))
 pooled("cnr", "SELECT graph_id, n, CAST(count(id) AS BIGINT) cyclic, round(count(id) / CAST(n AS DOUBLE), 6) cnr FROM counts LEFT JOIN cyc USING (graph_id) GROUP BY 1, 2", BRIDGE_SQL)(lambda p: rounded(cycles.cycle_ratio(p.edges, p.counts).drop("m"), "cnr"))
+
+
+def cnr_curve(p: Pool) -> DataFrame:
+    return decycling.cycle_ratio_curve(p.solution, p.edges, p.counts)
+
+
+#: The cycle ratio after each of the first vertices of the solution.
+START_SQL = ("firsts AS (SELECT s.graph_id, k, n FROM counts s, range(0, 5) t(k)), ke AS (SELECT e.graph_id, k, edge_id, src, dst FROM edges e JOIN firsts f ON f.graph_id = e.graph_id JOIN sol a ON a.graph_id = e.graph_id AND a.id = e.src JOIN sol b ON b.graph_id = e.graph_id AND b.id = e.dst WHERE least(a.pos, b.pos) >= k)",
+"karcs AS (SELECT graph_id, k, edge_id, src, dst FROM ke UNION ALL SELECT graph_id, k, edge_id, dst, src FROM ke)",
+"kwalk AS (SELECT graph_id, k, edge_id, src, dst, src AS seen FROM ke UNION SELECT w.graph_id, w.k, w.edge_id, w.src, w.dst, a.dst FROM kwalk w JOIN karcs a ON a.graph_id = w.graph_id AND a.k = w.k AND a.src = w.seen AND a.edge_id <> w.edge_id)",
+"kcyc AS (SELECT graph_id, k, src id FROM kwalk WHERE seen = dst UNION SELECT graph_id, k, dst FROM kwalk WHERE seen = dst)")
+pooled("cnr_curve")(lambda p: rounded(cnr_curve(p), "cnr"))
+pooled("cnr_curve_start", "SELECT f.graph_id, f.k, CAST(count(c.id) AS BIGINT) cyclic, round(count(c.id) / CAST(f.n AS DOUBLE), 6) cnr FROM firsts f LEFT JOIN kcyc c USING (graph_id, k) GROUP BY f.graph_id, f.k, f.n", *START_SQL)(lambda p: rounded(cnr_curve(p).where("k < 5").drop("id"), "cnr"))
+pooled("episode_steps")(lambda p: rounded(decycling.episode_steps(cnr_curve(p)), "reward"))
+pooled("solution_prefix")(lambda p: rounded(decycling.prefix_above(cnr_curve(p), 0.05), "cnr"))
+pooled("pool_insert", "SELECT graph_id, edge_id, src, dst, value FROM edges UNION ALL SELECT graph_id + 10, edge_id, src, dst, value FROM edges WHERE graph_id < 3")(lambda p: pools.insert_graphs(p.edges, p.edges.where("graph_id < 3").withColumn("graph_id", F.col("graph_id") + 10)))
+pooled("pool_sample")(lambda p: pools.sample_graphs(p.edges, 16, 1))
+pooled("edge_add", "SELECT graph_id, edge_id, src, dst, value FROM edges UNION ALL SELECT graph_id, m, 0, 1000000, CAST(0.5 AS DOUBLE) FROM counts")(lambda p: pools.add_edges(p.edges, p.edges.select("graph_id", F.lit(1_000_000).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.5).alias("value")).union(p.edges.select("graph_id", "dst", "src", "value"))))
 pooled("two_core", loops=True)(lambda p: cycles.two_core(p.edges))
 pooled("decycle_greedy")(lambda p: policies.decycle_order(p.edges))
 for _name, _centrality in (("hda", "degree"), ("hpra", "pagerank"), ("hca", "closeness"), ("hba", "betweenness")):
@@ -234,6 +252,7 @@ query("truncated_curves", "SELECT method, graph_id, pos, cnr FROM curves JOIN (S
 query("first_below_threshold", "SELECT method, graph_id, min(CASE WHEN cnr < 20 THEN pos END) AS pos FROM curves GROUP BY 1, 2", CURVES_SQL)(lambda s, d: metrics.first_below(event_curves(s, d), 20.0))
 query("mean_solution_size", "SELECT method, CAST(avg(l) AS DOUBLE) AS size FROM (SELECT method, graph_id, count(*) l FROM curves GROUP BY 1, 2) GROUP BY 1", CURVES_SQL)(lambda s, d: event_curves(s, d).groupBy("method", "graph_id").agg(F.count(F.lit(1)).alias("l")).groupBy("method").agg(F.avg("l").alias("size")))
 query("mean_time", "SELECT method, round(avg(t), 6) AS time FROM (SELECT method, graph_id, sum(cnr) t FROM curves GROUP BY 1, 2) GROUP BY 1", CURVES_SQL)(lambda s, d: rounded(event_curves(s, d).groupBy("method", "graph_id").agg(F.sum("cnr").alias("t")).groupBy("method").agg(F.avg("t").alias("time")), "time"))
+query("mean_time_two_sources", "SELECT method, round(avg(t), 6) AS time FROM (SELECT a.method, a.graph_id, a.t + b.t AS t FROM (SELECT event_type AS method, user_id graph_id, sum(abs(value)) t FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2) a JOIN (SELECT event_type AS method, user_id graph_id, sum(abs(value)) t FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) b USING (method, graph_id)) GROUP BY 1")(lambda s, d: rounded(metrics.mean_of_sums(*(s.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % 2 == part).groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("graph_id")).agg(F.sum(F.abs("value")).alias("time")) for part in (0, 1))), "time"))
 
 
 def bucket_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +273,7 @@ def heatmap_pivot_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.heatmap(scores, METHODS), *METHODS)
 
 
-@query("stream_nstep", f"SELECT episode, action AS seq, action, reward, round(nr, 6) AS nstep_return, next_action FROM (SELECT *, sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING) nr, lead(action, {N}) OVER w next_action FROM (SELECT user_id episode, event_id AS action, value reward FROM events) WINDOW w AS (PARTITION BY episode ORDER BY action)) WHERE next_action IS NOT NULL")
+@query("stream_nstep", f"SELECT episode, action AS seq, action, reward, round(nr, 6) AS nstep_return, next_action, next_action IS NULL AS terminal FROM (SELECT *, sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING) nr, lead(action, {N}) OVER w next_action FROM (SELECT user_id episode, event_id AS action, value reward FROM events) WINDOW w AS (PARTITION BY episode ORDER BY action))")
 def stream_nstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, all of them at once, into a table of transitions."""
     import uuid
@@ -265,6 +284,8 @@ def stream_nstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     steps = events.select(F.col("user_id").alias("episode"), F.col("event_id").alias("seq"), F.col("event_id").alias("action"), F.col("value").alias("reward"))
+    ends = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("episode")).agg(F.max("event_id").alias("end"))
+    steps = steps.join(ends, "episode").select("episode", "seq", "action", "reward", (F.col("seq") == F.col("end")).alias("last"))
     out = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
     run(steps, N).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.parquet(out), "nstep_return")

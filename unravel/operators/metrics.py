@@ -64,3 +64,10 @@ def degree_shares(degrees: DataFrame) -> DataFrame:
 
 def degree_histogram(degrees: DataFrame) -> DataFrame:
     return degrees.groupBy("graph_id", "degree").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+def mean_of_sums(first: DataFrame, second: DataFrame) -> DataFrame:
+    """method, time: the mean over graphs of two sources' times (method, graph_id, time),
+    added graph by graph; graphs of one source alone don't count."""
+    both = first.join(second.withColumnRenamed("time", "__more"), ["method", "graph_id"])
+    return both.groupBy("method").agg(F.avg(F.col("time") + F.col("__more")).alias("time"))
