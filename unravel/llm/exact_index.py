@@ -55,18 +55,14 @@ def key_of(first: Column, key_bits: int) -> Column:
     return F.shiftrightunsigned(first, 64 - key_bits)
 
 
-def hashed(docs: DataFrame, key_bits: int, texts: bool = False) -> DataFrame:
-    """doc_id, key, s1..s4 (the digest) and, if asked for, the normalised text of the
-    rows of ``docs`` (doc_id, text)."""
+def hashed(docs: DataFrame, key_bits: int) -> DataFrame:
+    """doc_id, key, s1..s4 (the digest) of the rows of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(part: pa.RecordBatch) -> dict:
-        found = [normal(t) for t in binary(part.column(1))]
-        out = {"doc_id": part.column(0)} | dict(zip(DIGEST, digests(found), strict=True))
-        return out | {"text": found} if texts else out
+        return {"doc_id": part.column(0)} | dict(zip(DIGEST, digests([normal(t) for t in binary(part.column(1))]), strict=True))
 
-    schema = f"doc_id {kind}, " + ", ".join(f"{s} long" for s in DIGEST) + (", text binary" if texts else "")
-    return arrow_pass(docs, rows, schema).withColumn("key", key_of(F.col("s1"), key_bits))
+    return arrow_pass(docs, rows, f"doc_id {kind}, " + ", ".join(f"{s} long" for s in DIGEST)).withColumn("key", key_of(F.col("s1"), key_bits))
 
 
 def directory(keys: DataFrame, distinct: int, capacity: int, key_bits: int) -> DataFrame:
@@ -115,45 +111,63 @@ class Chains:
         self.of: dict[int, list[list]] = {}
         self.bytes = 0
 
-    def add(self, key: int, text: bytes, keep, size: int, where: tuple) -> None:
+    def add(self, key: int, text: bytes, keep, size: int, bucket: int = 0, salts: int = 0) -> None:
         chain = self.of.setdefault(key, [])
         for entry in chain:
             if entry[0] == text:
                 entry[1] = max((x for x in (entry[1], keep) if x is not None), default=None)
                 entry[2] += size
                 return
-        chain.append([text, keep, size, where])
+        chain.append([text, keep, size, bucket, salts])
         self.bytes += len(text)
 
-    def drained(self) -> list[tuple]:
-        out = [(key, at, *entry) for key, chain in self.of.items() for at, entry in enumerate(chain)]
+    def drained(self, arrow: pa.Schema) -> pa.RecordBatch:
+        """The texts as rows with the columns of ``arrow``; none are left."""
+        found = [(key, at, *entry) for key, chain in self.of.items() for at, entry in enumerate(chain)]
+        made = dict(zip(("key", "chain", "text", "keep_id", "group_size", "bucket", "salts"), list(zip(*found, strict=True)) or [[]] * 7, strict=True))
+        if DIGEST[0] in arrow.names:
+            made |= dict(zip(DIGEST, digests(list(made["text"])), strict=True))
         self.of, self.bytes = {}, 0
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
 
-def folded(rows: DataFrame, kind: str, by_key: bool) -> DataFrame:
-    """Rows (bucket, key, salts, text, keep_id, group_size) of which equal ones are one,
-    with chain, the place in its key's chain. ``by_key``: rows come sorted by key, so a
-    key is done when the next begins; else what a task holds is bounded by HELD."""
-    schema = f"bucket long, key long, salts long, chain int, text binary, keep_id {kind}, group_size long"
+def folded_texts(docs: DataFrame, key_bits: int) -> DataFrame:
+    """key, text, keep_id, group_size of ``docs`` (doc_id, text), equal texts that a task
+    meets within HELD bytes as one row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"key long, text binary, keep_id {kind}, group_size long"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, last = Chains(), None
-
-        def flushed() -> pa.RecordBatch:
-            found = chains.drained()
-            cols = list(zip(*((*where, key, at, text, keep, size) for key, at, text, keep, size, where in found), strict=True)) or [[]] * 7
-            made = dict(zip(("bucket", "salts", "key", "chain", "text", "keep_id", "group_size"), cols, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        chains = Chains()
+        for part in slices(batches):
+            for name, raw in zip(part.column(0).to_pylist(), binary(part.column(1)), strict=True):
+                text = normal(raw)
+                key = int.from_bytes(hashlib.sha256(text).digest()[:8], "big") >> (64 - key_bits)
+                chains.add(key, text, name, 1)
+            if chains.bytes >= HELD:
+                yield chains.drained(arrow)
+        yield chains.drained(arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def owned(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (bucket, key, salts, text, keep_id, group_size), sorted by bucket and key in
+    each task, of which equal ones are one, with chain, the place in its key's chain, and
+    the digest."""
+    schema = f"bucket long, key long, salts long, chain int, text binary, keep_id {kind}, group_size long, " + ", ".join(f"{s} long" for s in DIGEST)
+    arrow = arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, last = Chains(), None
         for part in slices(batches):
-            for bucket, key, salt, text, keep, size in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
-                if chains.bytes >= HELD and (not by_key or key != last):
-                    yield flushed()
-                chains.add(key, text, keep, size, (bucket, salt))
+            for bucket, key, salts, text, keep, size in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != last and chains.bytes >= HELD:
+                    yield chains.drained(arrow)
+                chains.add(key, text, keep, size, bucket, salts)
                 last = key
-        yield flushed()
+        yield chains.drained(arrow)
 
     return rows.select("bucket", "key", "salts", "text", "keep_id", "group_size").mapInArrow(run, schema)
 
@@ -201,20 +215,10 @@ def build(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY, key_bits:
     # Texts of keys that several rows have, equal ones folded in each task.
     shared = keys.where("n > 1").select("key", F.ceil(F.cbrt("n")).cast("long").alias("salts"))
     shared = staged(gathered(index.placed(shared), keys.staged_rows), "shared")
-    texts = hashed(docs, key_bits, texts=True).select("doc_id", "key", "text").join(near(shared), "key")
-    local = folded(texts.select("bucket", "key", "salts", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), kind, by_key=False)
-    dealt = local.drop("chain").withColumn("salt", F.spark_partition_id() % F.col("salts"))
-    owners = folded(dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "key"), kind, by_key=True)
-    owners = staged(owners, "owners")
-    whole = folded(owners.drop("chain").repartition("bucket").sortWithinPartitions("bucket", "key"), kind, by_key=True)
-
-    def named(part: pa.RecordBatch) -> dict:
-        kept = {f: part.column(i) for i, f in enumerate(("bucket", "key", "chain", "keep_id", "group_size"))}
-        return kept | dict(zip(DIGEST, digests(part.column(5).to_pylist()), strict=True))
-
+    dealt = folded_texts(docs, key_bits).join(near(shared), "key").withColumn("salt", F.spark_partition_id() % F.col("salts"))
+    owners = staged(owned(dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "key"), kind), "owners")
+    chained = owned(owners.repartition("bucket").sortWithinPartitions("bucket", "key"), kind)
     order = ["bucket", "key", "chain", "keep_id", "group_size", *DIGEST]
-    schema = f"bucket long, key long, chain int, keep_id {kind}, group_size long, " + ", ".join(f"{s} long" for s in DIGEST)
-    chained = arrow_pass(whole.select(*order[:5], "text"), named, schema)
     alone = index.placed(keys.where("n = 1")).select("bucket", "key", F.lit(0).alias("chain"), "keep_id", F.col("n").alias("group_size"), *DIGEST)
     entries = staged(alone.select(*order).union(chained.select(*order)), "entries")
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
