@@ -5,6 +5,9 @@ A vertex is on a cycle if it has an edge that is no bridge.
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -56,7 +59,8 @@ def cyclic(near: dict[int, set[int]]) -> set[int]:
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """graph_id, src, dst of the bridges; one task a graph."""
+    """graph_id, src, dst of the bridges; one task a graph. ``forest.bridges`` is the
+    distributed form for a large graph."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = sorted(bridge_pairs(neighbours(zip(pdf.src.tolist(), pdf.dst.tolist(), strict=True))))
@@ -84,16 +88,43 @@ def two_core(edges: DataFrame) -> DataFrame:
         e = cut(e)
 
 
-def cycle_ratio(edges: DataFrame, counts: DataFrame) -> DataFrame:
-    """graph_id, n, cyclic, cnr: the share of vertices on cycles."""
-    c = cycle_vertices(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("cyclic"))
+def cycle_ratio(on_cycles: DataFrame, counts: DataFrame) -> DataFrame:
+    """graph_id, n, cyclic, cnr: the share of vertices that ``on_cycles`` (graph_id, id) has."""
+    c = on_cycles.groupBy("graph_id").agg(F.count(F.lit(1)).alias("cyclic"))
     return counts.join(c, "graph_id", "left").select("graph_id", "n", F.coalesce("cyclic", F.lit(0)).alias("cyclic"), F.when(F.col("n") > 0, F.coalesce("cyclic", F.lit(0)) / F.col("n")).alias("cnr"))
 
 
+def on_cycle(near: dict[int, set[int]], v: int) -> bool:
+    """Whether two neighbours of ``v`` are connected without it. A search from each
+    takes a step in turn, until two meet or all but one have ended, so the cost is that
+    of the lesser parts."""
+    if len(near[v]) < 2:
+        return False
+    owner = {v: v} | {w: w for w in near[v]}
+    searches = [(w, deque([w])) for w in near[v]]
+    while len(searches) > 1:
+        left = []
+        for w, todo in searches:
+            x = todo.popleft()
+            for y in near[x]:
+                if y not in owner:
+                    owner[y] = w
+                    todo.append(y)
+                elif owner[y] != w and y != v:
+                    return True
+            if todo:
+                left.append((w, todo))
+        searches = left
+    return False
+
+
 def break_cycles(near: dict[int, set[int]], most: int | None = None) -> list[int]:
     """Repeatedly the vertex on a cycle with the highest residual degree, ties to the
-    least id, until no cycle is left. Vertices that can't lie on a cycle are peeled
-    off between."""
+    least id, until no cycle is left.
+
+    A heap holds vertices by degree, renewed as neighbours go. Vertices that can't lie on
+    a cycle are peeled off between; the first of the rest is searched around, and one
+    that is found on no cycle never is again."""
     near = {v: set(ws) for v, ws in near.items()}
 
     def drop(v: int) -> list[int]:
@@ -108,14 +139,18 @@ def break_cycles(near: dict[int, set[int]], most: int | None = None) -> list[int
             if v in near and len(near[v]) < 2:
                 todo += drop(v)
 
-    degree = {v: len(ws) for v, ws in near.items()}
+    degree = {v: len(ws) for v, ws in near.items()}  # peeled neighbours count
     peel(list(near))
+    heap = [(-degree[v], v) for v in near]
+    heapify(heap)
     out: list[int] = []
-    while near and (most is None or len(out) < most):
-        on = cyclic(near)
-        v = min(on, key=lambda x: (-degree[x], x))
+    while heap and (most is None or len(out) < most):
+        d, v = heappop(heap)
+        if v not in near or -d != degree[v] or not on_cycle(near, v):
+            continue
         for w in near[v]:
             degree[w] -= 1
+            heappush(heap, (-degree[w], w))
         out.append(v)
         peel(drop(v))
     return out

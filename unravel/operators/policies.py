@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -86,7 +87,7 @@ SCORES: dict[str, Callable[[Graph], dict[int, float]]] = {"degree": degree_score
 
 #: Scores of a vertex that depend on its component alone, but for a factor by the size
 #: of the graph: 1 / the factor for n vertices.
-WITHIN: dict[Callable, Callable[[int], int]] = {degree_scores: lambda n: 1, betweenness_scores: lambda n: (n - 1) * (n - 2), closeness_scores: lambda n: n - 1}
+WITHIN: dict[Callable, Callable[[int], int]] = {betweenness_scores: lambda n: (n - 1) * (n - 2), closeness_scores: lambda n: n - 1}
 
 
 def reached(near: Graph, todo: list[int]) -> set[int]:
@@ -98,42 +99,132 @@ def reached(near: Graph, todo: list[int]) -> set[int]:
     return seen
 
 
+def degree_order(near: Graph, most: int | None = None) -> list[int]:
+    """The vertex of highest residual degree, ties to the least id, again and again. A
+    heap of ids for each degree; a vertex that loses a neighbour enters the one below, and
+    the highest degree only falls."""
+    degree = {v: len(ws) for v, ws in near.items()}
+    queue: list[list[int]] = [[] for _ in range(max(degree.values(), default=-1) + 1)]
+    for v in sorted(near):
+        queue[degree[v]].append(v)  # sorted, so a heap
+    out: list[int] = []
+    while queue and (most is None or len(out) < most):
+        if not queue[-1]:
+            queue.pop()
+            continue
+        v = heappop(queue[-1])
+        if degree.get(v) != len(queue) - 1:
+            continue  # gone, or in a lower heap by now
+        del degree[v]
+        out.append(v)
+        for w in near[v]:
+            if w in degree:
+                degree[w] -= 1
+                heappush(queue[degree[w]], w)
+    return out
+
+
+class PushedRank:
+    """PageRank while vertices are removed, up to a factor that all vertices share: x with
+    x = 1 + damping * (sum of x / degree over the neighbours). Teleports and the rank of
+    isolated vertices are spread evenly, so x alone orders the ranks. A removal leaves
+    residuals at the neighbours of its neighbours; they are pushed on from the last x until
+    none is over ``tolerance``, so what a removal doesn't reach isn't touched."""
+
+    def __init__(self, near: Graph, damping: float, tolerance: float):
+        self.ids = np.array(sorted(near), dtype=np.int64)
+        at = {v: i for i, v in enumerate(self.ids.tolist())}
+        self.near = [np.array([at[w] for w in near[v]], dtype=np.int64) for v in self.ids.tolist()]
+        self.degree = np.array([len(ws) for ws in self.near], dtype=np.float64)
+        self.first = np.concatenate([[0], np.cumsum(self.degree)]).astype(np.int64)
+        self.flat = np.concatenate([*self.near, np.empty(0, dtype=np.int64)])
+        self.there = np.ones(len(at), dtype=bool)
+        self.damping, self.tolerance = damping, tolerance
+        self.x, self.residual = np.zeros(len(at)), np.ones(len(at))
+        self.push(np.arange(len(at)))
+
+    def push(self, active: np.ndarray) -> None:
+        x, residual, n = self.x, self.residual, len(self.x)
+        while len(active):
+            held = residual[active]
+            x[active] += held
+            residual[active] = 0
+            size = self.first[active + 1] - self.first[active]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(self.first[active] - ends + size, size)
+            to = self.flat[place]
+            share = np.repeat(self.damping * held / np.maximum(self.degree[active], 1), size)
+            if len(to) * 4 > n:
+                residual += np.bincount(to, share, n)
+                residual[~self.there] = 0
+                active = np.flatnonzero(np.abs(residual) > self.tolerance)
+            else:
+                there = self.there[to]
+                to = to[there]
+                np.add.at(residual, to, share[there])
+                touched = np.unique(to)
+                active = touched[np.abs(residual[touched]) > self.tolerance]
+
+    def remove(self, v: int) -> None:
+        self.there[v] = False
+        near = self.near[v][self.there[self.near[v]]]
+        self.residual[near] -= self.damping * self.x[v] / max(self.degree[v], 1)
+        touched = [near]
+        for u in near.tolist():
+            d = self.degree[u]
+            self.degree[u] = d - 1
+            others = self.near[u][self.there[self.near[u]]]
+            if len(others):
+                self.residual[others] += self.damping * self.x[u] * (1 / (d - 1) - 1 / d)
+                touched.append(others)
+        self.x[v] = self.residual[v] = 0
+        touched = np.unique(np.concatenate(touched))
+        self.push(touched[np.abs(self.residual[touched]) > self.tolerance])
+
+
+def pagerank_order(near: Graph, most: int | None = None, damping: float = 0.85, tolerance: float = 1e-12, alike: float = 1e-9) -> list[int]:
+    """The vertex of highest PageRank of the residual graph, again and again; ranks within
+    ``alike`` of the mean rank are ties, which go to the least id."""
+    ranks, out = PushedRank(near, damping, tolerance), []
+    while len(out) < len(near) and (most is None or len(out) < most):
+        v = int(np.argmax(ranks.x >= ranks.x.max() - alike))  # ids rise
+        out.append(int(ranks.ids[v]))
+        ranks.remove(v)
+    return out
+
+
 def adaptive(near: Graph, score: Callable[[Graph], dict[int, float]], most: int | None = None) -> list[int]:
     """Remove the best vertex of the residual graph, ties to the least id, ``most``
-    times or until none is left; scores are made anew each time, those in WITHIN only
-    where the removal can have changed them."""
+    times or until none is left. Degrees and PageRanks are kept up to date; other scores
+    are made anew each time where the removal can have changed them."""
+    if score is degree_scores:
+        return degree_order(near, most)
+    if score is pagerank_scores:
+        return pagerank_order(near, most)
     near, out = {v: set(ws) for v, ws in near.items()}, []
-    over = WITHIN.get(score)
+    over = WITHIN[score]
     kept: dict[int, float] = {}
 
     def renew(part: set[int]) -> None:
         k = over(len(part))
         kept.update((v, x * k) for v, x in score({v: near[v] for v in part}).items())
 
-    if over:
-        todo = set(near)
-        while todo:
-            part = reached(near, [next(iter(todo))])
-            renew(part)
-            todo -= part
+    todo = set(near)
+    while todo:
+        part = reached(near, [next(iter(todo))])
+        renew(part)
+        todo -= part
     while near and (most is None or len(out) < most):
-        if over:
-            k = max(over(len(near)), 1)
-            v = min(near, key=lambda x: (-round(kept[x] / k, 12), x))
-        else:
-            scores = score(near)
-            v = min(near, key=lambda x: (-round(scores[x], 12), x))
+        k = max(over(len(near)), 1)
+        v = min(near, key=lambda x: (-round(kept[x] / k, 12), x))
         touched = near.pop(v)
         for w in touched:
             near[w].discard(v)
         out.append(v)
-        if score is degree_scores:
-            renew(touched)
-        elif over:
-            while touched:
-                part = reached(near, [next(iter(touched))])
-                renew(part)
-                touched = touched - part
+        while touched:
+            part = reached(near, [next(iter(touched))])
+            renew(part)
+            touched = touched - part
     return out
 
 
@@ -184,43 +275,93 @@ STRATEGIES: dict[str, Callable[[list[int]], int]] = {
 }
 
 
-def reinsertion(near: Graph, solution: list[int], strategy: str = "rank", each: int = 1, merge_residual: bool = False) -> list[int]:
-    """The solution reordered: vertices are put back in rounds, the ``each`` of least
-    (score, id) first, and the last put back is removed first. Vertices outside the
-    solution are there from the start, singletons unless ``merge_residual``."""
-    if each < 1:
-        raise ValueError("each must be at least 1")
-    score = STRATEGIES[strategy]
-    root = {v: v for v in near} | {v: v for v in solution}
-    size = dict.fromkeys(root, 1)
+class Growing:
+    """Components that vertices are put back into: their sizes and, for each, the vertices
+    still out that touch it. Of two that merge the lesser border moves."""
 
-    def find(x: int) -> int:
+    def __init__(self, near: Graph, out: set[int]):
+        self.near, self.out, self.root = near, out, {}
+        self.size: dict[int, int] = {}
+        self.border: dict[int, set[int]] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    def join(x: int, y: int) -> None:
-        x, y = find(x), find(y)
-        if x != y:
-            root[y] = x
-            size[x] += size[y]
+    def add(self, v: int) -> None:
+        """``v`` as a component of its own."""
+        self.out.discard(v)
+        self.root[v], self.size[v] = v, 1
+        self.border[v] = {w for w in self.near.get(v, ()) if w in self.out}
+
+    def join(self, v: int) -> set[int]:
+        """Merge ``v`` with the components around it; gives the vertices that touched more
+        than one of them."""
+        both: set[int] = set()
+        for w in self.near.get(v, ()):
+            if w in self.root:
+                a, b = self.find(v), self.find(w)
+                if a != b:
+                    if len(self.border[a]) < len(self.border[b]):
+                        a, b = b, a
+                    moved = self.border.pop(b)
+                    both |= moved & self.border[a] if len(moved) < len(self.border[a]) else self.border[a] & moved
+                    self.border[a] |= moved
+                    self.root[b] = a
+                    self.size[a] += self.size.pop(b)
+        self.border[self.find(v)].discard(v)
+        both.discard(v)
+        return both
+
+    def around(self, v: int) -> list[int]:
+        """Sizes of the components that ``v`` touches."""
+        return [self.size[r] for r in {self.find(w) for w in self.near.get(v, ()) if w in self.root}]
+
 
+def reinsertion(near: Graph, solution: list[int], strategy: str = "rank", each: int = 1, merge_residual: bool = False) -> list[int]:
+    """The solution reordered: vertices are put back in rounds, the ``each`` of least
+    (score, id) first, and the last put back is removed first. Vertices outside the
+    solution are there from the start, singletons unless ``merge_residual``.
+
+    A heap has scores that are no more than the true ones: a score falls only where a
+    vertex touched two components that merge, and those are renewed at once; where it
+    rose, that shows when the vertex comes up, and it goes back."""
+    if each < 1:
+        raise ValueError("each must be at least 1")
+    score = STRATEGIES[strategy]
     left = set(solution)
-    there = set(root) - left
+    grown = Growing(near, set(left))
+    there = set(near) - left
+    for v in there:
+        grown.add(v)
     if merge_residual:
         for v in there:
-            for w in near.get(v, ()):
-                if w in there:
-                    join(v, w)
+            grown.join(v)
+    known = {v: score(grown.around(v)) for v in left}
+    heap = [(s, v) for v, s in known.items()]
+    heapify(heap)
     out: list[int] = []
     while left:
-        ranked = sorted((score([size[r] for r in {find(w) for w in near.get(v, ()) if w in there}]), v) for v in left)
-        for _, v in ranked[:each]:
-            for w in near.get(v, ()):
-                if w in there:
-                    join(v, w)
-            there.add(v)
-            left.discard(v)
+        taken: list[int] = []
+        while heap and len(taken) < each:
+            s, v = heappop(heap)
+            if v not in left or s != known[v]:
+                continue
+            now = score(grown.around(v))
+            if now == s:
+                taken.append(v)
+                left.discard(v)
+            else:
+                known[v] = now
+                heappush(heap, (now, v))
+        for v in taken:
+            grown.add(v)
+            for w in grown.join(v):
+                if w in left:
+                    known[w] = score(grown.around(w))
+                    heappush(heap, (known[w], w))
             out.append(v)
     return out[::-1]
 
