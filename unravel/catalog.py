@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import batch, cascade, components as comp, cycles, decycling, matrix, metrics, policies, pool as pools, replay, residual, robustness
+from .operators import batch, cascade, components as comp, cycles, decycling, forest, matrix, metrics, policies, pool as pools, replay, residual, robustness
 from .plans.derive import Pool, cut, order_pool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +165,7 @@ alive AS (SELECT graph_id, st * i AS k, id FROM placed, range(0, 11) t(i) WHERE
 live AS (SELECT a.graph_id, k1.k, a.src, a.dst FROM arcs a JOIN alive k1 ON k1.graph_id = a.graph_id AND k1.id = a.src JOIN alive k2 ON k2.graph_id = a.graph_id AND k2.id = a.dst AND k1.k = k2.k)""", reach_sql("kc", "live", "alive", "graph_id, k"))
 pooled("robustness_curve", "SELECT graph_id, k, CAST(sum(s * (s - 1)) / 2 AS BIGINT) pairs, round(sum(s * (s - 1)) / 2 / (n * (n - 1) / 2.0), 6) conn FROM (SELECT graph_id, k, comp, count(*) s FROM kc GROUP BY 1, 2, 3) JOIN counts USING (graph_id) GROUP BY 1, 2, n", *CURVE_SQL, loops=True)(lambda p: rounded(robustness.checkpointed_curve(p.solution, p.edges, p.counts), "conn"))
 pooled("robustness_curve_full")(lambda p: rounded(robustness.robustness_curve(p.solution, p.edges, p.counts), "conn"))
+pooled("robustness_curve_forest", loops=True)(lambda p: rounded(forest.curve(p.solution, p.edges, p.counts), "conn"))
 pooled("robustness_score")(lambda p: robustness.robustness_score(robustness.robustness_curve(p.solution, p.edges, p.counts), p.counts))
 
 # Cascades
@@ -179,9 +180,9 @@ pooled("influenced_one_round", "SELECT DISTINCT a.graph_id, a.dst AS id FROM arc
 # Cycles: an edge is no bridge if its ends stay connected without it.
 BRIDGE_SQL = """walk AS (SELECT graph_id, edge_id, src, dst, src AS seen FROM edges UNION SELECT w.graph_id, w.edge_id, w.src, w.dst, a.dst FROM walk w JOIN arcs a ON a.graph_id = w.graph_id AND a.src = w.seen AND a.edge_id <> w.edge_id),
 loops AS (SELECT DISTINCT graph_id, edge_id, src, dst FROM walk WHERE seen = dst), cyc AS (SELECT graph_id, src id FROM loops UNION SELECT graph_id, dst FROM loops)"""
-pooled("bridges", "SELECT graph_id, src, dst FROM edges WHERE (graph_id, edge_id) NOT IN (SELECT (graph_id, edge_id) FROM loops)", BRIDGE_SQL)(lambda p: cycles.bridges(p.edges))
-pooled("cycle_vertices", "SELECT graph_id, id FROM cyc", BRIDGE_SQL)(lambda p: cycles.cycle_vertices(p.edges))
-pooled("cnr", "SELECT graph_id, n, CAST(count(id) AS BIGINT) cyclic, round(count(id) / CAST(n AS DOUBLE), 6) cnr FROM counts LEFT JOIN cyc USING (graph_id) GROUP BY 1, 2", BRIDGE_SQL)(lambda p: rounded(cycles.cycle_ratio(p.edges, p.counts).drop("m"), "cnr"))
+pooled("bridges", "SELECT graph_id, src, dst FROM edges WHERE (graph_id, edge_id) NOT IN (SELECT (graph_id, edge_id) FROM loops)", BRIDGE_SQL, loops=True)(lambda p: forest.bridges(p.edges).drop("edge_id"))
+pooled("cycle_vertices", "SELECT graph_id, id FROM cyc", BRIDGE_SQL, loops=True)(lambda p: forest.cycle_vertices(p.edges))
+pooled("cnr", "SELECT graph_id, n, CAST(count(id) AS BIGINT) cyclic, round(count(id) / CAST(n AS DOUBLE), 6) cnr FROM counts LEFT JOIN cyc USING (graph_id) GROUP BY 1, 2", BRIDGE_SQL, loops=True)(lambda p: rounded(cycles.cycle_ratio(forest.cycle_vertices(p.edges), p.counts).drop("m"), "cnr"))
 
 
 def cnr_curve(p: Pool) -> DataFrame:
@@ -189,12 +190,17 @@ def cnr_curve(p: Pool) -> DataFrame:
 
 
 #: The cycle ratio after each of the first vertices of the solution.
-START_SQL = ("firsts AS (SELECT s.graph_id, k, n FROM counts s, range(0, 5) t(k)), ke AS (SELECT e.graph_id, k, edge_id, src, dst FROM edges e JOIN firsts f ON f.graph_id = e.graph_id JOIN sol a ON a.graph_id = e.graph_id AND a.id = e.src JOIN sol b ON b.graph_id = e.graph_id AND b.id = e.dst WHERE least(a.pos, b.pos) >= k)",
+FIRSTS_SQL = "firsts AS (SELECT s.graph_id, k, n FROM counts s, range(0, 5) t(k))"
+WALK_SQL = ("ke AS (SELECT e.graph_id, k, edge_id, src, dst FROM edges e JOIN firsts f ON f.graph_id = e.graph_id JOIN sol a ON a.graph_id = e.graph_id AND a.id = e.src JOIN sol b ON b.graph_id = e.graph_id AND b.id = e.dst WHERE least(a.pos, b.pos) >= k)",
 "karcs AS (SELECT graph_id, k, edge_id, src, dst FROM ke UNION ALL SELECT graph_id, k, edge_id, dst, src FROM ke)",
 "kwalk AS (SELECT graph_id, k, edge_id, src, dst, src AS seen FROM ke UNION SELECT w.graph_id, w.k, w.edge_id, w.src, w.dst, a.dst FROM kwalk w JOIN karcs a ON a.graph_id = w.graph_id AND a.k = w.k AND a.src = w.seen AND a.edge_id <> w.edge_id)",
 "kcyc AS (SELECT graph_id, k, src id FROM kwalk WHERE seen = dst UNION SELECT graph_id, k, dst FROM kwalk WHERE seen = dst)")
+START_SQL = (FIRSTS_SQL, *WALK_SQL)
 pooled("cnr_curve")(lambda p: rounded(cnr_curve(p), "cnr"))
 pooled("cnr_curve_start", "SELECT f.graph_id, f.k, CAST(count(c.id) AS BIGINT) cyclic, round(count(c.id) / CAST(f.n AS DOUBLE), 6) cnr FROM firsts f LEFT JOIN kcyc c USING (graph_id, k) GROUP BY f.graph_id, f.k, f.n", *START_SQL)(lambda p: rounded(cnr_curve(p).where("k < 5").drop("id"), "cnr"))
+#: The cycle ratio at the checkpoints of the whole solution.
+POINTS_SQL = ("firsts AS (SELECT graph_id, CAST(ceil(n / 10.0) AS BIGINT) * i AS k, n FROM counts, range(0, 11) t(i) WHERE CAST(ceil(n / 10.0) AS BIGINT) * i < n)", *WALK_SQL)
+pooled("cnr_curve_checkpoints", "SELECT f.graph_id, f.k, CAST(count(c.id) AS BIGINT) cyclic, round(count(c.id) / CAST(f.n AS DOUBLE), 6) cnr FROM firsts f LEFT JOIN kcyc c USING (graph_id, k) GROUP BY f.graph_id, f.k, f.n", *POINTS_SQL, loops=True)(lambda p: rounded(forest.cycle_ratio_checkpoints(p.solution, p.edges, p.counts), "cnr"))
 pooled("episode_steps")(lambda p: rounded(decycling.episode_steps(cnr_curve(p)), "reward"))
 pooled("solution_prefix")(lambda p: rounded(decycling.prefix_above(cnr_curve(p), 0.05), "cnr"))
 pooled("pool_insert", "SELECT graph_id, edge_id, src, dst, value FROM edges UNION ALL SELECT graph_id + 10, edge_id, src, dst, value FROM edges WHERE graph_id < 3")(lambda p: pools.insert_graphs(p.edges, p.edges.where("graph_id < 3").withColumn("graph_id", F.col("graph_id") + 10)))

@@ -49,7 +49,7 @@ def curve_of(ids: list[int], edges: list[tuple[int, int]]) -> list[float]:
 
 def robustness_curve(solution: DataFrame, edges: DataFrame, counts: DataFrame) -> DataFrame:
     """graph_id, k, pairs, conn for every k; one task a graph, whose rows must fit in
-    it. Vertices outside the solution count as removed. ``checkpointed_curve`` is the
+    it. Vertices outside the solution count as removed. ``forest.curve`` is the
     distributed form for a large graph."""
     rows = solution.select("graph_id", F.lit(0).alias("kind"), F.col("pos").alias("x"), F.col("id").alias("y")).union(edges.select("graph_id", F.lit(1), "src", "dst"))
 
@@ -63,15 +63,19 @@ def robustness_curve(solution: DataFrame, edges: DataFrame, counts: DataFrame) -
     return out.join(F.broadcast(counts), "graph_id").select("graph_id", "k", F.col("pairs").cast("long").alias("pairs"), F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1) / 2)).alias("conn"))
 
 
-def checkpointed_curve(solution: DataFrame, edges: DataFrame, counts: DataFrame, steps: int = 10) -> DataFrame:
-    """The curve at every ceil(n / steps)-th k. An edge lives while k <= the lesser of
-    its ends' positions; all checkpoints' components converge together."""
+def checkpoints(solution: DataFrame, edges: DataFrame, counts: DataFrame, steps: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, k, id) and (graph_id, k, edge_id, src, dst): what is left at every
+    ceil(n / steps)-th k. An edge lives while k <= the lesser of its ends' positions."""
     step = F.ceil(F.col("n") / steps)
     s = solution.join(F.broadcast(counts), "graph_id").select("graph_id", "id", "pos", step.alias("step"))
     alive = s.select("graph_id", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pos"), F.col("step"))).alias("k"))
-    ends = s.select("graph_id", F.col("id"), "pos", "step")
-    e = edges.join(ends.select("graph_id", F.col("id").alias("src"), F.col("pos").alias("ps"), "step"), ["graph_id", "src"]).join(ends.select("graph_id", F.col("id").alias("dst"), F.col("pos").alias("pd")), ["graph_id", "dst"])
-    live = e.select("graph_id", "src", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.least("ps", "pd"), F.col("step"))).alias("k"))
+    e = edges.join(s.select("graph_id", F.col("id").alias("src"), F.col("pos").alias("ps"), "step"), ["graph_id", "src"]).join(s.select("graph_id", F.col("id").alias("dst"), F.col("pos").alias("pd")), ["graph_id", "dst"])
+    return alive, e.select("graph_id", "edge_id", "src", "dst", F.explode(F.sequence(F.lit(0).cast("long"), F.least("ps", "pd"), F.col("step"))).alias("k"))
+
+
+def checkpointed_curve(solution: DataFrame, edges: DataFrame, counts: DataFrame, steps: int = 10) -> DataFrame:
+    """The curve at the ``checkpoints``, whose components converge together."""
+    alive, live = checkpoints(solution, edges, counts, steps)
     keys = ("graph_id", "k")
     out = connectivity(components(alive, live, keys), keys).select("graph_id", "k", "pairs")
     return out.join(F.broadcast(counts), "graph_id").select("graph_id", "k", "pairs", F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1) / 2)).alias("conn"))
