@@ -9,11 +9,11 @@ longer one exactly if it is a parent of a phrase one word longer that is as freq
 the longer one at least, so that one level up decides.
 
 Texts are kept as blocks of word numbers, in the shared folder. A block's distinct words
-or pairs, and no single places, are counted and joined with the names; the ids come back
-to the block in a cogroup, which replaces and pairs at once. So no dictionary is held
-whole: a block's task has the block and its own names. A block ends with the text that
-fills it. Hot phrases have one row a block and are summed before they are shuffled. The
-best phrases are first sought in BINS parts of each language, then among these.
+or pairs, and no single places, are joined globally by one shuffle, which counts and
+names them; the ids come back to the block in a cogroup, which replaces and pairs at
+once. So no dictionary is held whole: a block's task has the block and its own names. A
+block ends with the text that fills it. Hot phrases have one row a block. The best phrases
+are first sought in BINS parts of each language, then among these.
 
 Scores are compared as whole numbers in decimals of 38 digits.
 
@@ -33,11 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import arrow_schema, binary, gathered, near, release, slices, staged
+from .common import arrow_schema, binary, gathered, release, slices, staged
 
 LEAST, MOST_WORDS, TOP, INSIDE = 30, 4, 2000, 80
 #: Words of a block; parts in which the best phrases of a language are sought first.
 BLOCK, BINS = 1 << 20, 64
+#: Bits of a key's number in its block and of a block's number in its task: a task may make
+#: 2048 blocks, and 2 ** 21 tasks may.
+NUMBER_BITS, MADE_BITS = 31, 11
 #: Pieces end at these; the first stands for all of them.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(ENDS, b"." * len(ENDS))
@@ -69,7 +72,9 @@ def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             to = np.full(n, -1, dtype=np.int32)
             to[keep] = np.arange(len(keep), dtype=np.int32)
             keys = pa.StructArray.from_arrays([pa.array([langs[k] for k in keep], pa.string()), pa.array([words[k] for k in keep], pa.binary()).cast(pa.string()), pa.array(counts[keep], pa.int64())], fields=list(arrow.field("keys").type.value_type))
-            out = one_row(arrow, (part_no << 32) + made, to[flat], keys)
+            if made >> MADE_BITS or part_no >> (63 - NUMBER_BITS - MADE_BITS):
+                raise ValueError("too many blocks to number: read the texts in more and smaller tasks, or enlarge BLOCK")
+            out = one_row(arrow, (part_no << MADE_BITS) + made, to[flat], keys)
             number, held, made = itertools.count(), 0, made + 1
             known.clear()
             places.clear()
@@ -99,12 +104,16 @@ def one_row(schema: pa.Schema, block: int, places: np.ndarray, keys: pa.StructAr
 
 def named(blocks: DataFrame, parts: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """(names, places) of the staged ``blocks``: id, ``parts``, a (count) of the keys with
-    at least ``least`` occurrences; block, number, id of their places in blocks."""
+    at least ``least`` occurrences; block, number, id of their places in blocks. A key's
+    id is its first place, so keys are shuffled once, for count and id together."""
     keys = blocks.select("block", F.posexplode("keys").alias("number", "key"))
-    often = keys.groupBy(*(F.col(f"key.{p}").alias(p) for p in parts)).agg(F.sum("key.n").alias("a")).where(F.col("a") >= least)
-    names = staged(often.select(F.monotonically_increasing_id().alias("id"), *parts, "a"), "names")  # written, so the ids stay
-    found = keys.select("block", "number", *(F.col(f"key.{p}").alias(p) for p in parts)).join(near(names.select("id", *parts)), parts)
-    return names, found.select("block", "number", "id")
+    same = Window.partitionBy(*(f"key.{p}" for p in parts))
+    place = F.shiftleft("block", NUMBER_BITS) + F.col("number")
+    counted = keys.select("block", "number", "key", F.sum("key.n").over(same).alias("a"), F.min(place).over(same).alias("id")).where(F.col("a") >= least)
+    first = F.col("id") == place
+    found = staged(counted.select("block", "number", "id", "a", *(F.when(first, F.col(f"key.{p}")).alias(p) for p in parts)), "places")
+    names = staged(gathered(found.where(first).select("id", *parts, "a"), found.staged_rows), "names")
+    return names, found
 
 
 def paired(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -134,10 +143,9 @@ def paired(blocks: DataFrame, found: DataFrame) -> DataFrame:
 def composed(names: DataFrame, parents: DataFrame) -> DataFrame:
     """id, left, right, a with lang, phrase, last (word), before and after (counts of the
     parts before and after each cut) from the phrases that are a word shorter."""
-    rows = parents.staged_rows
     left = parents.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"), F.concat("before", F.array("a")).alias("before"))
     right = parents.select(F.col("id").alias("right"), "last", F.concat(F.array("a"), "after").alias("after"))
-    out = names.join(near(left, rows), "left").join(near(right, rows), "right")
+    out = names.join(left, "left").join(right, "right")
     out = out.select("id", "left", "right", "a", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "before", "after")
     return staged(gathered(out, names.staged_rows), "phrases")
 
@@ -162,21 +170,20 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     names, found = named(blocks, ["lang", "word"], least)
     empty = F.array().cast("array<bigint>")
     level = names.select("id", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), empty.alias("before"), empty.alias("after"))
-    level.staged_rows = names.staged_rows
     levels = []
     for _ in range(most_words - 1):
         longer = staged(paired(blocks, found), "blocks")
-        release(blocks)
+        release(blocks, found)
         blocks = longer
         names, found = named(blocks, ["left", "right"], least)
         level = composed(names, level)
         levels.append(level)
-    release(blocks)
+    release(blocks, found)
     kept = None
     for k, phrases in enumerate(levels):
         if k + 1 < len(levels):
             up = levels[k + 1].select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("most"))
-            phrases = phrases.join(near(up, 2 * levels[k + 1].staged_rows), "id", "left")
+            phrases = phrases.join(up, "id", "left")
             phrases = phrases.where(F.col("most").isNull() | (whole(F.col("most")) * 100 < whole(F.col("a")) * inside_percent))
         phrases = phrases.select("id", "lang", "phrase", "a", weakest_cut().alias("c"))
         kept = phrases if kept is None else kept.union(phrases)
@@ -184,8 +191,22 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     part = F.pmod(F.xxhash64("phrase"), F.lit(BINS))
     first = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("place") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return best.join(near(totals), "lang").select("lang", "rank", "phrase", "a", "c.l", "c.r", "n", "c.score")
+    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP13_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)) GROUP BY 1, 2, 3),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+inner_parts AS (SELECT lang, j, unnest(list_transform(range(1, k - j + 2), i -> array_to_string(ws[i:i + j - 1], ' '))) AS phrase, a FROM c, range(2, 4) t(j) WHERE j < k),
+most AS (SELECT lang, j AS k, phrase, max(a) AS a FROM inner_parts GROUP BY 1, 2, 3),
+kept AS (SELECT c.* FROM c LEFT JOIN most m USING (lang, k, phrase) WHERE m.a IS NULL OR 100 * m.a < 80 * c.a),
+cuts AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score, j FROM kept c JOIN range(1, 4) t(j) ON j < c.k JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(c.ws[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(c.ws[j + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
