@@ -93,5 +93,5 @@ def test_pagerank_order():
             want.append(v)
             for w in left.pop(v):
                 left[w].discard(v)
-        assert policies.pagerank_order(near) == want
+        assert policies.pagerank_order(near) == policies.pagerank_order(near, direct=0) == policies.pagerank_order(near, direct=8) == want
     assert policies.pagerank_order({}) == [] and policies.degree_order({}) == []

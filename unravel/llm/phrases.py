@@ -201,9 +201,9 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces),
 totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
-f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)) GROUP BY 1, 2, 3),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k)) GROUP BY 1, 2, 3),
 c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
-inner_parts AS (SELECT lang, j, unnest(list_transform(range(1, k - j + 2), i -> array_to_string(ws[i:i + j - 1], ' '))) AS phrase, a FROM c, range(2, 4) t(j) WHERE j < k),
+inner_parts AS (SELECT lang, j, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS phrase, a FROM c, range(2, 4) t(j) WHERE j < k),
 most AS (SELECT lang, j AS k, phrase, max(a) AS a FROM inner_parts GROUP BY 1, 2, 3),
 kept AS (SELECT c.* FROM c LEFT JOIN most m USING (lang, k, phrase) WHERE m.a IS NULL OR 100 * m.a < 80 * c.a),
 cuts AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, (2000000 * c.a) // (l.a + r.a) AS score, j FROM kept c JOIN range(1, 4) t(j) ON j < c.k JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(c.ws[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(c.ws[j + 1:], ' ')),

@@ -129,9 +129,10 @@ class PushedRank:
     x = 1 + damping * (sum of x / degree over the neighbours). Teleports and the rank of
     isolated vertices are spread evenly, so x alone orders the ranks. A removal leaves
     residuals at the neighbours of its neighbours; they are pushed on from the last x until
-    none is over ``tolerance``, so what a removal doesn't reach isn't touched."""
+    none is over ``tolerance``, so what a removal doesn't reach isn't touched. A component
+    of at most ``direct`` vertices is solved at once instead."""
 
-    def __init__(self, near: Graph, damping: float, tolerance: float):
+    def __init__(self, near: Graph, damping: float, tolerance: float, direct: int):
         self.ids = np.array(sorted(near), dtype=np.int64)
         at = {v: i for i, v in enumerate(self.ids.tolist())}
         self.near = [np.array([at[w] for w in near[v]], dtype=np.int64) for v in self.ids.tolist()]
@@ -139,7 +140,7 @@ class PushedRank:
         self.first = np.concatenate([[0], np.cumsum(self.degree)]).astype(np.int64)
         self.flat = np.concatenate([*self.near, np.empty(0, dtype=np.int64)])
         self.there = np.ones(len(at), dtype=bool)
-        self.damping, self.tolerance = damping, tolerance
+        self.damping, self.tolerance, self.direct = damping, tolerance, direct
         self.x, self.residual = np.zeros(len(at)), np.ones(len(at))
         self.push(np.arange(len(at)))
 
@@ -154,7 +155,7 @@ class PushedRank:
             place = np.arange(ends[-1]) + np.repeat(self.first[active] - ends + size, size)
             to = self.flat[place]
             share = np.repeat(self.damping * held / np.maximum(self.degree[active], 1), size)
-            if len(to) * 4 > n:
+            if len(to) * 64 > n:
                 residual += np.bincount(to, share, n)
                 residual[~self.there] = 0
                 active = np.flatnonzero(np.abs(residual) > self.tolerance)
@@ -165,6 +166,24 @@ class PushedRank:
                 touched = np.unique(to)
                 active = touched[np.abs(residual[touched]) > self.tolerance]
 
+    def solved(self, start: int) -> bool:
+        """Solve the component of ``start``, unless it has over ``direct`` vertices."""
+        at, todo, ends = {start: 0}, [start], []
+        while todo:
+            v = todo.pop()
+            for w in self.near[v][self.there[self.near[v]]].tolist():
+                if w not in at:
+                    if len(at) == self.direct:
+                        return False
+                    at[w] = len(at)
+                    todo.append(w)
+                ends.append((at[w], at[v]))
+        a, own = np.eye(len(at)), np.array(list(at), dtype=np.int64)
+        for w, v in ends:
+            a[w, v] = -self.damping / self.degree[own[v]]
+        self.x[own], self.residual[own] = np.linalg.solve(a, np.ones(len(at))), 0
+        return True
+
     def remove(self, v: int) -> None:
         self.there[v] = False
         near = self.near[v][self.there[self.near[v]]]
@@ -178,14 +197,17 @@ class PushedRank:
                 self.residual[others] += self.damping * self.x[u] * (1 / (d - 1) - 1 / d)
                 touched.append(others)
         self.x[v] = self.residual[v] = 0
+        for u in near.tolist():
+            if self.residual[u]:
+                self.solved(u)
         touched = np.unique(np.concatenate(touched))
         self.push(touched[np.abs(self.residual[touched]) > self.tolerance])
 
 
-def pagerank_order(near: Graph, most: int | None = None, damping: float = 0.85, tolerance: float = 1e-12, alike: float = 1e-9) -> list[int]:
+def pagerank_order(near: Graph, most: int | None = None, damping: float = 0.85, tolerance: float = 1e-12, alike: float = 1e-9, direct: int = 100) -> list[int]:
     """The vertex of highest PageRank of the residual graph, again and again; ranks within
     ``alike`` of the mean rank are ties, which go to the least id."""
-    ranks, out = PushedRank(near, damping, tolerance), []
+    ranks, out = PushedRank(near, damping, tolerance, direct), []
     while len(out) < len(near) and (most is None or len(out) < most):
         v = int(np.argmax(ranks.x >= ranks.x.max() - alike))  # ids rise
         out.append(int(ranks.ids[v]))
