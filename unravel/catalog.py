@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import batch, cascade, components as comp, cycles, decycling, forest, matrix, metrics, policies, pool as pools, replay, residual, robustness
-from .plans.derive import Pool, cut, order_pool
+from .operators import batch, betweenness, cascade, components as comp, cycles, decycling, forest, matrix, metrics, policies, pool as pools, replay, residual, robustness
+from .plans.derive import Pool, cut, order_pool, trade_pool
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -211,6 +211,22 @@ pooled("decycle_greedy")(lambda p: policies.decycle_order(p.edges))
 for _name, _centrality in (("hda", "degree"), ("hpra", "pagerank"), ("hca", "closeness"), ("hba", "betweenness")):
     pooled(_name, loops=True)(lambda p, c=_centrality: policies.adaptive_order(p.edges, c))
 pooled("betweenness_core", loops=True)(lambda p: rounded(policies.centrality(p.edges, "betweenness"), "score"))
+#: Nations that trade; all shortest paths are walked one by one.
+TRADE_SQL = ("pairs AS (SELECT DISTINCT least(c_nationkey, s_nationkey) a, greatest(c_nationkey, s_nationkey) b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND c_nationkey <> s_nationkey)",
+"arcs AS (SELECT CAST(a AS BIGINT) src, CAST(b AS BIGINT) dst FROM pairs UNION ALL SELECT b, a FROM pairs), v AS (SELECT DISTINCT src id FROM arcs), size AS (SELECT count(*) n FROM v)",
+"hops AS (SELECT id s, id t, 0 d FROM v UNION SELECT s, dst, d + 1 FROM hops JOIN arcs ON src = t WHERE d < (SELECT n FROM size))",
+"dist AS (SELECT s, t, min(d) d FROM hops GROUP BY 1, 2)",
+"walks AS (SELECT id s, id t, 0 d FROM v UNION ALL SELECT w.s, dst, w.d + 1 FROM walks w JOIN arcs ON src = w.t JOIN dist q ON q.s = w.s AND q.t = dst AND q.d = w.d + 1)",
+"paths AS (SELECT s, t, d, CAST(count(*) AS DOUBLE) p FROM walks GROUP BY 1, 2, 3)")
+BETWEEN_SQL = """SELECT CAST(0 AS BIGINT) graph_id, v.id, round(coalesce(sum(x.p * y.p / st.p), 0) / ((SELECT n FROM size) - 1) / ((SELECT n FROM size) - 2), 6) score
+FROM v LEFT JOIN paths x ON x.t = v.id AND x.s <> v.id LEFT JOIN paths y ON y.s = v.id AND y.t <> v.id AND y.t <> x.s LEFT JOIN paths st ON st.s = x.s AND st.t = y.t AND st.d = x.d + y.d GROUP BY v.id"""
+
+
+@query("betweenness_small", BETWEEN_SQL, *TRADE_SQL)
+def betweenness_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(betweenness.betweenness(trade_pool(spark, sf_dir).edges), "score")
+
+
 pooled("random_policy")(lambda p: policies.random_order(p.vertices, 7))
 pooled("reinsert_order")(lambda p: policies.reinsert_order(p.edges, p.removals.select("graph_id", F.col("step").alias("pos"), "id"), "rank", 0.01))
 

@@ -92,3 +92,16 @@ def order_pool(spark: SparkSession, sf_dir: str, least_quantity: int = 40) -> Po
     pairs = a.join(b, "k").where("src < dst").join(orders, "k").select("graph_id", "src", "dst").distinct()
     w = Window.partitionBy("graph_id").orderBy("src", "dst")
     return Pool(pairs.select("graph_id", (F.row_number().over(w) - 1).cast("long").alias("edge_id"), "src", "dst", edge_probability(F.col("src"), F.col("dst")).alias("value")))
+
+
+def trade_pool(spark: SparkSession, sf_dir: str, least_quantity: int = 50, least_discount: float = 0.1) -> Pool:
+    """Nations that trade: one graph, an edge between the nations of a customer and a
+    supplier with a line of at least these terms."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    lines = read("lineitem").where((F.col("l_quantity") >= least_quantity) & (F.col("l_discount") >= least_discount)).select("l_orderkey", "l_suppkey")
+    buyers = read("orders").select("o_orderkey", "o_custkey").join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a")), "o_custkey")
+    sellers = read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
+    pairs = lines.join(buyers, lines.l_orderkey == buyers.o_orderkey).join(sellers, "l_suppkey").where("a <> b")
+    pairs = pairs.select(F.least("a", "b").cast("long").alias("src"), F.greatest("a", "b").cast("long").alias("dst")).distinct()
+    w = Window.orderBy("src", "dst")  # a pair of nations is a row at most
+    return Pool(pairs.select(F.lit(0).cast("long").alias("graph_id"), (F.row_number().over(w) - 1).cast("long").alias("edge_id"), "src", "dst", edge_probability(F.col("src"), F.col("dst")).alias("value")))
