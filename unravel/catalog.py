@@ -295,6 +295,40 @@ def heatmap_pivot_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.heatmap(scores, METHODS), *METHODS)
 
 
+def streamed(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``run`` makes of the events as a stream, all of them at once."""
+    import uuid
+
+    from .plans.derive import shared_path
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
+    run(events).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+RING_ROW_SQL = """SELECT memory, seq, CAST((row_number() OVER w - 1) % 8 AS BIGINT) slot, round(priority, 6) priority, lag(seq, 8) OVER w gone, round(min(priority) OVER w, 6) least, round(max(priority) OVER w, 6) most
+FROM (SELECT user_id memory, event_id seq, pow(least(abs(value) % 1.0 + 0.01, 1.0), 0.6) priority FROM events) WINDOW w AS (PARTITION BY memory ORDER BY seq)"""
+
+
+@query("stream_ring", RING_ROW_SQL)
+def stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of 8 slots a user."""
+    from .streaming import stateful
+
+    stateful.rocksdb(spark)
+    rows = lambda e: e.select(F.col("user_id").alias("memory"), F.col("event_id").alias("seq"), replay.priority(F.abs(F.col("value")) % 1.0).alias("priority"))
+    return rounded(streamed(spark, sf_dir, lambda e: stateful.stream_ring(rows(e), 8)), "priority", "least", "most")
+
+
+@query("priority_history", f"SELECT round(min(priority), 6) AS least, round(max(priority), 6) AS most, round(coalesce(max(priority), 1.0), 6) AS start FROM (SELECT pow(least(error + 0.01, 1.0), 0.6) AS priority FROM ev)", RING_SQL)
+def priority_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities over all history, overwritten rows included."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rounded(replay.history(e.select(replay.priority(F.abs(F.col("value")) % 1.0).alias("priority"))), "least", "most", "start")
+
+
 @query("stream_nstep", f"SELECT episode, action AS seq, action, reward, round(nr, 6) AS nstep_return, next_action, next_action IS NULL AS terminal FROM (SELECT *, sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING) nr, lead(action, {N}) OVER w next_action FROM (SELECT user_id episode, event_id AS action, value reward FROM events) WINDOW w AS (PARTITION BY episode ORDER BY action))")
 def stream_nstep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, all of them at once, into a table of transitions."""

@@ -44,6 +44,12 @@ def start_priority(priorities: DataFrame, upper: float = 1.0) -> DataFrame:
     return priorities.agg(F.coalesce(F.max("priority"), F.lit(upper)).alias("priority"))
 
 
+def history(priorities: DataFrame, upper: float = 1.0) -> DataFrame:
+    """One row: least and most of all priorities that were ever set, and start, that of a
+    new transition; a memory never unlearns them."""
+    return priorities.agg(F.min("priority").alias("least"), F.max("priority").alias("most"), F.coalesce(F.max("priority"), F.lit(upper)).alias("start"))
+
+
 def leaf_order(slot: Column, capacity: int) -> Column:
     """The place of a slot among a heap's leaves from left to right: leaves of the
     deepest level come first."""
