@@ -68,12 +68,14 @@ def shared_rows(keys: DataFrame) -> DataFrame:
     return out
 
 
-def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], first_may: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], first_may: Callable[[Column, Column], Column] | None = None, prepare: Callable[[DataFrame], None] = lambda rows: None) -> tuple[DataFrame, DataFrame]:
     """(components, links) from rows (key, node, x), distinct by key and node.
 
     ``confirm`` takes distinct pairs (a < b) and returns those that hold; ``refine``
     gives such rows of the nodes (node) of open keys; ``may`` is the bound on the
     structs x of two rows of a refined key, ``first_may`` that of the first keys.
+    ``prepare`` is given the rows of the first keys that several nodes share: no other
+    node is asked for.
     """
     links = tested = groups = None
     for level in range(2):
@@ -81,6 +83,8 @@ def linked(keys: DataFrame, confirm: Callable[[DataFrame], DataFrame], refine: C
         rows = shared_rows(keys)
         if not rows.staged_rows:
             break
+        if not level:
+            prepare(rows)
         for turn in range(HUB_ROUNDS if level else 1):
             if groups is not None:
                 rows = opened(rows, groups)
