@@ -37,7 +37,7 @@ from .common import arrow_schema, binary, gathered, release, slices, staged
 
 LEAST, MOST_WORDS, TOP, INSIDE = 30, 4, 2000, 80
 #: Words of a block; parts in which the best phrases of a language are sought first.
-BLOCK, BINS = 1 << 20, 64
+BLOCK, BINS = 3 << 20, 64
 #: Bits of a key's number in its block and of a block's number in its task: a task may make
 #: 2048 blocks, and 2 ** 21 tasks may.
 NUMBER_BITS, MADE_BITS = 31, 11
@@ -107,12 +107,14 @@ def named(blocks: DataFrame, parts: list[str], least: int) -> tuple[DataFrame, D
     at least ``least`` occurrences; block, number, id of their places in blocks. A key's
     id is its first place, so keys are shuffled once, for count and id together."""
     keys = blocks.select("block", F.posexplode("keys").alias("number", "key"))
-    same = Window.partitionBy(*(f"key.{p}" for p in parts))
-    place = F.shiftleft("block", NUMBER_BITS) + F.col("number")
-    counted = keys.select("block", "number", "key", F.sum("key.n").over(same).alias("a"), F.min(place).over(same).alias("id")).where(F.col("a") >= least)
-    first = F.col("id") == place
-    found = staged(counted.select("block", "number", "id", "a", *(F.when(first, F.col(f"key.{p}")).alias(p) for p in parts)), "places")
-    names = staged(gathered(found.where(first).select("id", *parts, "a"), found.staged_rows), "names")
+    place = (F.shiftleft("block", NUMBER_BITS) + F.col("number")).alias("place")
+    same = Window.partitionBy(*parts)
+    counted = keys.select(place, *(F.col(f"key.{p}").alias(p) for p in parts), F.col("key.n").alias("n"))
+    counted = counted.select("place", *parts, F.sum("n").over(same).alias("a"), F.min("place").over(same).alias("id")).where(F.col("a") >= least)
+    first = F.col("id") == F.col("place")
+    number = (F.col("place").bitwiseAND((1 << NUMBER_BITS) - 1)).cast("int").alias("number")
+    found = staged(counted.select(F.shiftright("place", NUMBER_BITS).alias("block"), number, "id", F.when(first, F.col("a")).alias("a"), *(F.when(first, F.col(p)).alias(p) for p in parts)), "places")
+    names = staged(gathered(found.where("a IS NOT NULL").select("id", *parts, "a"), found.staged_rows), "names")
     return names, found
 
 
