@@ -96,6 +96,25 @@ pooled("degree_histogram", "SELECT graph_id, degree, CAST(count(*) AS BIGINT) ve
 pooled("degree_share_weight", "SELECT graph_id, id, round(100.0 * degree / sum(degree) OVER (PARTITION BY graph_id), 6) AS share FROM deg")(lambda p: rounded(metrics.degree_shares(p.degrees).select("graph_id", "id", "share"), "share"))
 pooled("degree_cost_weight", "SELECT graph_id, id, round(degree / max(degree) OVER (PARTITION BY graph_id), 6) AS cost FROM deg")(lambda p: rounded(metrics.degree_shares(p.degrees).select("graph_id", "id", "cost"), "cost"))
 
+BINS_SQL = """SELECT e.graph_id, b AS bin, round(lo + b * span / 10, 6) AS low, CAST(coalesce(c.k, 0) AS BIGINT) AS vertices, round(coalesce(c.k, 0) * 10 / span / n, 6) AS density
+FROM ends e CROSS JOIN (SELECT CAST(i AS BIGINT) b FROM range(0, 10) t(i)) LEFT JOIN (SELECT graph_id, least(CAST(floor((degree - lo) * 10 / span) AS BIGINT), 9) b, count(*) k FROM deg JOIN ends USING (graph_id) GROUP BY 1, 2) c USING (graph_id, b)"""
+pooled("degree_density_bins", BINS_SQL, "ends AS (SELECT graph_id, count(*) n, CASE WHEN min(degree) = max(degree) THEN min(degree) - 0.5 ELSE CAST(min(degree) AS DOUBLE) END lo, CASE WHEN min(degree) = max(degree) THEN 1.0 ELSE CAST(max(degree) - min(degree) AS DOUBLE) END span FROM deg GROUP BY 1)")(lambda p: rounded(metrics.degree_bins(p.degrees), "low", "density"))
+pooled("degree_range", "SELECT graph_id, min(degree) AS least, max(degree) AS most FROM deg GROUP BY 1")(lambda p: p.degrees.groupBy("graph_id").agg(F.min("degree").alias("least"), F.max("degree").alias("most")))
+
+
+def two_solutions(p: Pool) -> DataFrame:
+    """method, graph_id, pos, id: the first tenth by degree, and every 15th vertex by id."""
+    w = Window.partitionBy("graph_id").orderBy("id")
+    other = p.vertices.where("id % 15 = 0").withColumn("pos", F.row_number().over(w).cast("long") - 1)
+    return p.removals.select(F.lit("degree").alias("method"), "graph_id", F.col("step").alias("pos"), "id").union(other.select(F.lit("id"), "graph_id", "pos", "id"))
+
+
+TWO_SQL = """two AS (SELECT 'degree' AS method, graph_id, step AS pos, id FROM rem UNION ALL SELECT 'id', graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY id) - 1, id FROM v WHERE id % 15 = 0),
+cut60 AS (SELECT graph_id, CAST(floor(min(l) * 0.6) AS BIGINT) k FROM (SELECT graph_id, method, count(*) l FROM two GROUP BY 1, 2) GROUP BY 1)"""
+pooled("residual_at_share", "SELECT m.method, e.graph_id, e.src, e.dst FROM edges e CROSS JOIN (SELECT DISTINCT method FROM two) m WHERE NOT EXISTS (SELECT 1 FROM two t JOIN cut60 c USING (graph_id) WHERE t.pos < c.k AND t.method = m.method AND t.graph_id = e.graph_id AND t.id IN (e.src, e.dst))", TWO_SQL)(
+    lambda p: (lambda gone: residual.residual_edges(p.edges, gone.where("method = 'degree'")).select(F.lit("degree").alias("method"), "graph_id", "src", "dst").union(residual.residual_edges(p.edges, gone.where("method = 'id'")).select(F.lit("id"), "graph_id", "src", "dst")))(metrics.shortest_share(two_solutions(p)))
+)
+
 # Residual graphs
 pooled("residual_edges", "SELECT graph_id, edge_id, src, dst, value FROM res")(lambda p: residual.residual_edges(p.edges, p.removals))
 pooled("residual_vertices", "SELECT graph_id, id FROM resv")(lambda p: residual.residual_vertices(p.vertices, p.removals))
@@ -119,6 +138,18 @@ pooled("e2n", "SELECT graph_id, dst AS row, arc_id AS col, CAST(1.0 AS DOUBLE) A
 pooled("n2e", "SELECT graph_id, arc_id AS row, src AS col, CAST(1.0 AS DOUBLE) AS value FROM sym")(lambda p: matrix.node_to_edge(residual.symmetric_edges(p.edges)))
 pooled("e2e_nonbacktracking", "SELECT a.graph_id, a.arc_id AS row, b.arc_id AS col, CAST(1.0 AS DOUBLE) AS value FROM sym a JOIN sym b ON a.graph_id = b.graph_id AND b.dst = a.src AND b.src <> a.dst")(lambda p: matrix.edge_to_edge(residual.symmetric_edges(p.edges)))
 
+pooled("laplacian_weighted", "SELECT graph_id, src AS row, src AS col, round(sum(value), 6) AS value FROM arcs GROUP BY 1, 2, 3 UNION ALL SELECT graph_id, src, dst, round(-value, 6) FROM arcs")(lambda p: rounded(matrix.weighted_laplacian(p.arcs), "value"))
+VALUED_SQL = "symv AS (SELECT s.graph_id, arc_id, s.src, s.dst, e.value FROM sym s JOIN edges e ON e.graph_id = s.graph_id AND e.src = least(s.src, s.dst) AND e.dst = greatest(s.src, s.dst))"
+
+
+def valued_arcs(p: Pool) -> DataFrame:
+    ends = [F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("w")]
+    return residual.symmetric_edges(p.edges).select("*", *ends).join(p.edges.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("w"), "value"), ["graph_id", "u", "w"])
+
+
+pooled("e2n_weighted", "SELECT graph_id, dst AS row, arc_id AS col, value FROM symv", VALUED_SQL)(lambda p: matrix.weighted_edge_to_node(valued_arcs(p)))
+pooled("n2e_weighted", "SELECT graph_id, arc_id AS row, src AS col, value FROM symv", VALUED_SQL)(lambda p: matrix.weighted_node_to_edge(valued_arcs(p)))
+
 # Batches: graphs 1, 2, 1 and one whose vertices are all removed.
 REQUEST = [(0, 1), (1, 2), (2, 1), (3, 3)]
 BATCH_SQL = """request AS (SELECT CAST(b AS BIGINT) batch_pos, CAST(g AS BIGINT) graph_id FROM (VALUES (0, 1), (1, 2), (2, 1), (3, 3)) t(b, g)),
@@ -140,6 +171,19 @@ pooled("batch_edges", "SELECT q.batch_pos, e.edge_id, s.global_id AS src, d.glob
 pooled("subgraph_membership", "SELECT batch_pos AS row, global_id AS col, CAST(1.0 AS DOUBLE) AS value FROM labels", BATCH_SQL)(lambda p: batch.membership(batch_parts(p)[1]))
 pooled("rep_global", "SELECT global_id AS row, batch_pos AS col, CAST(1.0 AS DOUBLE) AS value FROM labels", BATCH_SQL)(lambda p: batch.transpose(batch.membership(batch_parts(p)[1])))
 pooled("act_select", "SELECT batch_pos AS row, min(global_id) AS col, CAST(1.0 AS DOUBLE) AS value FROM labels GROUP BY 1", BATCH_SQL)(lambda p: (lambda lab: batch.select_actions(lab.groupBy("batch_pos").agg(F.min("id").alias("id")), lab))(batch_parts(p)[1]))
+BATCH_ARCS_SQL = (BATCH_SQL, "bedges AS (SELECT s.global_id AS src, d.global_id AS dst FROM request q JOIN edges e USING (graph_id) JOIN labels s ON s.batch_pos = q.batch_pos AND s.id = e.src JOIN labels d ON d.batch_pos = q.batch_pos AND d.id = e.dst), barcs AS (SELECT src, dst FROM bedges UNION ALL SELECT dst, src FROM bedges)")
+
+
+def batch_setup(p: Pool) -> dict[str, DataFrame]:
+    """The fixed batch, made for training on the least vertex of each graph."""
+    request, labels = batch_parts(p)
+    some = request.where("batch_pos < 3").join(p.removals, "graph_id").select("batch_pos", "id")
+    gone = some.union(request.where("batch_pos = 3").join(p.vertices, "graph_id").select("batch_pos", "id"))
+    return batch.setup(request, p.vertices, p.edges, gone, labels.groupBy("batch_pos").agg(F.min("id").alias("id")), "mean")
+
+
+pooled("batch_setup_n2n", "SELECT a.src AS row, a.dst AS col, round(1.0 / d, 6) AS value FROM barcs a JOIN (SELECT src, CAST(count(*) AS DOUBLE) d FROM barcs GROUP BY 1) c ON c.src = a.src", *BATCH_ARCS_SQL)(lambda p: rounded(batch_setup(p)["n2n"], "value"))
+pooled("batch_setup_laplacian", "SELECT src AS row, src AS col, CAST(count(*) AS DOUBLE) AS value FROM barcs GROUP BY 1 UNION ALL SELECT src, dst, CAST(-1.0 AS DOUBLE) FROM barcs", *BATCH_ARCS_SQL)(lambda p: batch_setup(p)["laplacian"])
 pooled("masked_membership", "SELECT graph_id AS row, pos AS col, CAST(1.0 AS DOUBLE) AS value FROM sol WHERE degree >= 4")(lambda p: batch.masked_membership(p.solution.groupBy(F.col("graph_id").alias("batch_pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "degree"))), lambda x: (x["degree"] >= 4).cast("int")).alias("mask"))))
 
 # Components
@@ -174,6 +218,9 @@ le AS (SELECT graph_id, sim, src, dst FROM edges, sims WHERE CAST((src * 31 + ds
 pooled("influence_spread", "SELECT graph_id, sim, CAST(count(*) AS BIGINT) spread FROM hit GROUP BY 1, 2", *LIVE_SQL, loops=True)(lambda p: cascade.spread(cascade.live_components(p.vertices, p.edges, SIMS), p.removals))
 pooled("influence_spread_mc", f"SELECT graph_id, CAST(floor(count(*) / {SIMS}.0) AS DOUBLE) spread FROM hit GROUP BY 1", *LIVE_SQL, loops=True)(lambda p: cascade.mean_spread(cascade.live_components(p.vertices, p.edges, SIMS), p.removals, SIMS))
 pooled("influence_candidates", "SELECT v.graph_id, v.id, CAST(CASE WHEN h.id IS NULL THEN 1 ELSE 0 END AS BIGINT) free FROM v LEFT JOIN (SELECT graph_id, id FROM hit WHERE sim = 0) h USING (graph_id, id)", *LIVE_SQL, loops=True)(lambda p: cascade.candidates(cascade.live_components(p.vertices, p.edges, 1), p.removals))
+ACTION_SQL = "SELECT graph_id, id, CAST(gain AS BIGINT) AS gain FROM (SELECT graph_id, id, sum(size) AS gain, row_number() OVER (PARTITION BY graph_id ORDER BY sum(size) DESC, id) AS r FROM lc JOIN (SELECT graph_id, sim, comp, count(*) AS size FROM lc GROUP BY 1, 2, 3) USING (graph_id, sim, comp) GROUP BY 1, 2) WHERE r = 1"
+pooled("influence_action", ACTION_SQL, *LIVE_SQL, loops=True)(lambda p: cascade.influence_action(cascade.live_components(p.vertices, p.edges, SIMS)))
+pooled("influence_order", loops=True)(lambda p: cascade.influence_order(cascade.live_components(p.vertices, p.edges, SIMS)))
 pooled("influence_robustness", f"""SELECT graph_id, round(sum(floor(grown / {SIMS}.0)) / n / n, 6) robustness FROM (SELECT s.graph_id, s.pos, sum(coalesce(f.size, 0)) OVER (PARTITION BY s.graph_id ORDER BY s.pos) grown FROM sol s LEFT JOIN (SELECT graph_id, pos, sum(size) size FROM (SELECT c.graph_id, c.sim, c.comp, min(s.pos) pos, count(*) size FROM lc c JOIN sol s ON s.graph_id = c.graph_id AND s.id = c.id GROUP BY 1, 2, 3) GROUP BY 1, 2) f USING (graph_id, pos)) JOIN counts USING (graph_id) GROUP BY graph_id, n""", *LIVE_SQL, loops=True)(lambda p: rounded(cascade.influence_robustness(cascade.live_components(p.vertices, p.edges, SIMS), p.solution, p.counts, SIMS), "robustness"))
 pooled("influenced_one_round", "SELECT DISTINCT a.graph_id, a.dst AS id FROM arcs a JOIN rem r ON r.graph_id = a.graph_id AND r.id = a.src WHERE CAST((least(a.src, a.dst) * 31 + greatest(a.src, a.dst) * 17) % 1000 AS DOUBLE) / 1000.0 < a.value AND (a.graph_id, a.dst) NOT IN (SELECT (graph_id, id) FROM rem)")(lambda p: cascade.one_round(p.arcs, p.removals))
 
@@ -231,6 +278,17 @@ pooled("random_policy")(lambda p: policies.random_order(p.vertices, 7))
 pooled("reinsert_order")(lambda p: policies.reinsert_order(p.edges, p.removals.select("graph_id", F.col("step").alias("pos"), "id"), "rank", 0.01))
 
 
+
+
+def evaluated(p: Pool) -> DataFrame:
+    """Scores of the first tenth by degree as it is and re-inserted."""
+    sol = p.removals.select("graph_id", F.col("step").alias("pos"), "id")
+    score = lambda k: policies.evaluate_solution(p.edges, sol, p.vertices, p.counts, k, 0.01)[0].select("graph_id", F.lit(k).alias("strategy"), "robustness")
+    return score(0).union(score(2)).union(score(3))
+
+
+pooled("evaluate_solution", loops=True)(evaluated)
+
 # Replay
 N = STEPS
 NSTEP_SQL = f"""SELECT episode, step, action, reward, round(sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) suffix_sum, round(sum(reward) OVER (w ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING), 6) nstep_return,
@@ -238,6 +296,7 @@ lead(action, {N}) OVER w next_action, step + {N} >= count(*) OVER (PARTITION BY
 query("nstep_returns", NSTEP_SQL, STEPS_SQL)(lambda s, d: rounded(replay.nstep(episodes(s, d), N), "suffix_sum", "nstep_return"))
 query("nstep_next_action", f"SELECT episode, step, lead(action, {N}) OVER (PARTITION BY episode ORDER BY step) next_action FROM steps", STEPS_SQL)(lambda s, d: replay.nstep(episodes(s, d), N).select("episode", "step", "next_action"))
 query("suffix_sum_rewards", "SELECT episode, step, round(sum(reward) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) suffix_sum FROM steps", STEPS_SQL)(lambda s, d: rounded(replay.nstep(episodes(s, d), N).select("episode", "step", "suffix_sum"), "suffix_sum"))
+query("successor_state", f"SELECT s.episode, s.step, string_agg(CAST(t.action AS VARCHAR), ',' ORDER BY t.step) next_state FROM steps s JOIN steps t ON t.episode = s.episode AND t.step < s.step + {N} GROUP BY 1, 2", STEPS_SQL)(lambda s, d: replay.successor_state(episodes(s, d), N).withColumn("next_state", F.array_join(F.col("next_state").cast("array<string>"), ",")))
 query("state_prefix", "SELECT episode, step, coalesce(string_agg(CAST(action AS VARCHAR), ',') OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') state FROM steps", STEPS_SQL)(lambda s, d: replay.state_prefix(episodes(s, d)).withColumn("state", F.array_join(F.col("state").cast("array<string>"), ",")))
 
 

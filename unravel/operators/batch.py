@@ -58,3 +58,20 @@ def masked_membership(masks: DataFrame) -> DataFrame:
     """(row, local index, 1) where ``mask`` (array of 0/1, by batch_pos) is 1."""
     e = masks.select(F.col("batch_pos").alias("row"), F.posexplode("mask").alias("col", "on"))
     return e.where("on = 1").select("row", F.col("col").cast("long").alias("col"), F.lit(1.0).alias("value"))
+
+
+def setup(request: DataFrame, vertices: DataFrame, edges: DataFrame, removals: DataFrame, actions: DataFrame | None = None, aggregator: str = "sum") -> dict[str, DataFrame]:
+    """All tables of a batch: labels, spans, edges, n2n (``matrix.node_to_node``),
+    laplacian, membership, rep_global and, with ``actions`` (batch_pos, id: training),
+    act_select. Matrices are of global ids. ``request``: (batch_pos, graph_id);
+    ``removals``: (batch_pos, id)."""
+    from . import matrix
+
+    labels = relabel(request, vertices, removals)
+    left = batch_edges(request, edges, labels)
+    arcs = left.select(F.lit(0).cast("long").alias("graph_id"), F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("a")).select("graph_id", "a.*")
+    out = {"labels": labels, "spans": spans(request, labels), "edges": left, "n2n": matrix.node_to_node(arcs, aggregator).drop("graph_id"), "laplacian": matrix.laplacian(arcs).drop("graph_id"), "membership": membership(labels)}
+    out["rep_global"] = transpose(out["membership"])
+    if actions is not None:
+        out["act_select"] = select_actions(actions, labels)
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import edge_draw
@@ -65,3 +68,50 @@ def one_round(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
     s = seeds.select("graph_id", F.col("id").alias("src")).distinct()
     hit = arcs.join(s, ["graph_id", "src"]).where(edge_draw(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(0)) < F.col("value"))
     return hit.select("graph_id", F.col("dst").alias("id")).distinct().join(seeds.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+
+
+def influence_action(labels: DataFrame) -> DataFrame:
+    """graph_id, id, gain: the vertex that influences most vertices over all simulations,
+    ties to the least id."""
+    sizes = labels.groupBy(*KEYS, "comp").agg(F.count(F.lit(1)).alias("size"))
+    gains = labels.join(sizes, [*KEYS, "comp"]).groupBy("graph_id", "id").agg(F.sum("size").alias("gain"))
+    best = gains.groupBy("graph_id").agg(F.max(F.struct("gain", (-F.col("id")).alias("least"))).alias("b"))
+    return best.select("graph_id", (-F.col("b.least")).alias("id"), F.col("b.gain").alias("gain"))
+
+
+def lazy_greedy(parts: dict[int, list[int]], size: dict[int, int], most: int | None = None) -> list[tuple[int, int]]:
+    """(vertex, gain) of the greatest gain, ties to the least id, until none gains: the
+    sizes of a vertex's ``parts`` that no earlier one has. A gain only falls, so one that
+    is renewed and still first in the heap is the greatest; others stay as they are."""
+    taken: set[int] = set()
+    gain = lambda v: sum(size[p] for p in parts[v] if p not in taken)
+    heap = [(-gain(v), v) for v in parts]
+    heapify(heap)
+    out: list[tuple[int, int]] = []
+    while heap and (most is None or len(out) < most):
+        g, v = heappop(heap)
+        now = gain(v)
+        if now != -g:
+            if now:
+                heappush(heap, (-now, v))
+            continue
+        out.append((v, now))
+        taken.update(parts[v])
+    return out
+
+
+def influence_order(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """graph_id, pos, id, gain: vertices by their marginal influence, greedily, until all
+    vertices are influenced in every simulation. One task a graph, with a row for each
+    vertex and simulation."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf.groupby(["sim", "comp"]).ngroup()
+        size = part.value_counts().to_dict()
+        parts: dict[int, list[int]] = {}
+        for v, p in zip(pdf.id.tolist(), part.tolist(), strict=True):
+            parts.setdefault(v, []).append(p)
+        order = lazy_greedy(parts, size, most)
+        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "pos": range(len(order)), "id": [v for v, _ in order], "gain": [g for _, g in order]}, columns=["graph_id", "pos", "id", "gain"])
+
+    return labels.select(*KEYS, "id", "comp").groupBy("graph_id").applyInPandas(run, "graph_id long, pos long, id long, gain long")

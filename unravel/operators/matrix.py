@@ -35,6 +35,23 @@ def laplacian(arcs: DataFrame) -> DataFrame:
     return diagonal.union(arcs.select("graph_id", "src", "dst", F.lit(-1.0)))
 
 
+def weighted_laplacian(arcs: DataFrame) -> DataFrame:
+    """Sums of edge values on the diagonal, the values with a minus beside it."""
+    w = weighted(arcs)
+    diagonal = w.groupBy("graph_id", "row").agg(F.sum("value").alias("value")).select("graph_id", "row", F.col("row").alias("col"), "value")
+    return diagonal.union(w.select("graph_id", "row", "col", (-F.col("value")).alias("value")))
+
+
+def weighted_edge_to_node(arcs: DataFrame) -> DataFrame:
+    """vertices x arcs, the arc's value at its target; ``arcs`` has arc_id and value."""
+    return arcs.select("graph_id", F.col("dst").alias("row"), F.col("arc_id").alias("col"), "value")
+
+
+def weighted_node_to_edge(arcs: DataFrame) -> DataFrame:
+    """arcs x vertices, the arc's value at its source."""
+    return arcs.select("graph_id", F.col("arc_id").alias("row"), F.col("src").alias("col"), "value")
+
+
 def edge_to_node(arcs: DataFrame) -> DataFrame:
     """vertices x arcs, 1 at an arc's target."""
     return arcs.select("graph_id", F.col("dst").alias("row"), F.col("arc_id").alias("col"), F.lit(1.0).alias("value"))

@@ -66,6 +66,27 @@ def degree_histogram(degrees: DataFrame) -> DataFrame:
     return degrees.groupBy("graph_id", "degree").agg(F.count(F.lit(1)).alias("vertices"))
 
 
+def degree_bins(degrees: DataFrame, bins: int = 10) -> DataFrame:
+    """graph_id, bin (from 0), low, vertices, density: ``bins`` equal parts of the range of
+    degrees, the last with its upper end; the densities' sum times the width is 1. A
+    range of one degree is widened by a half on both sides. Empty bins are rows too."""
+    ends = degrees.groupBy("graph_id").agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.count(F.lit(1)).alias("n"))
+    flat = F.col("most") == F.col("least")
+    ends = ends.select("graph_id", "n", F.when(flat, F.col("least") - 0.5).otherwise(F.col("least").cast("double")).alias("from"), F.when(flat, F.lit(1.0)).otherwise((F.col("most") - F.col("least")).cast("double")).alias("span"))
+    at = degrees.join(F.broadcast(ends), "graph_id").select("graph_id", F.least(F.floor((F.col("degree") - F.col("from")) * bins / F.col("span")), F.lit(bins - 1)).cast("long").alias("bin"))  # one row a graph
+    counts = at.groupBy("graph_id", "bin").agg(F.count(F.lit(1)).alias("vertices"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    out = every.join(counts, ["graph_id", "bin"], "left").na.fill(0, ["vertices"])
+    return out.select("graph_id", "bin", (F.col("from") + F.col("bin") * F.col("span") / bins).alias("low"), "vertices", (F.col("vertices") * bins / F.col("span") / F.col("n")).alias("density"))
+
+
+def shortest_share(solutions: DataFrame, share: float = 0.6) -> DataFrame:
+    """method, graph_id, pos, id of ``solutions`` before k, ``share`` of the graph's
+    shortest solution, cut to an integer: so all methods have as many removals."""
+    lengths = solutions.groupBy("graph_id", "method").agg(F.count(F.lit(1)).alias("len")).groupBy("graph_id").agg(F.floor(F.min("len") * share).alias("k"))
+    return solutions.join(F.broadcast(lengths), "graph_id").where("pos < k").select("method", "graph_id", "pos", "id")  # one row a graph
+
+
 def mean_of_sums(first: DataFrame, second: DataFrame) -> DataFrame:
     """method, time: the mean over graphs of two sources' times (method, graph_id, time),
     added graph by graph; graphs of one source alone don't count."""

@@ -411,3 +411,27 @@ def reinsert_scores(arcs: DataFrame, labels: DataFrame, removals: DataFrame) ->
     got = near.join(sizes, ["graph_id", "comp"]).groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
     out = removals.select("graph_id", "id").distinct().join(got, ["graph_id", "id"], "left").na.fill(0)
     return out.select("graph_id", "id", F.col("c").alias("count"), (F.col("s") + 1).alias("rank"), (F.col("c") * (F.col("s") + 1)).alias("multiple"))
+
+
+#: Strategies of re-insertion by number; 0 leaves a solution as it is.
+STRATEGY_IDS = {1: "count", 2: "rank", 3: "multiple"}
+
+
+def evaluate_solution(edges: DataFrame, solution: DataFrame, vertices: DataFrame, counts: DataFrame, strategy_id: int = 0, step_ratio: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """(scores, curve) of a given ``solution`` (graph_id, pos, id): graph_id, robustness;
+    graph_id, k, pairs, conn. It is re-inserted by the strategy first, if any; vertices
+    that it leaves out are removed last, in order of id."""
+    from pyspark.sql import Window
+
+    from .robustness import robustness_curve, robustness_score
+
+    if strategy_id not in {0, *STRATEGY_IDS}:
+        raise ValueError(f"unknown strategy: {strategy_id}")
+    sol = solution.select("graph_id", "pos", "id")
+    if strategy_id:
+        sol = reinsert_order(edges, sol, STRATEGY_IDS[strategy_id], step_ratio)
+    given = sol.groupBy("graph_id").agg(F.count(F.lit(1)).alias("given"))
+    rest = vertices.join(sol.select("graph_id", "id"), ["graph_id", "id"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy("id")))
+    rest = rest.join(F.broadcast(given), "graph_id", "left").select("graph_id", (F.coalesce("given", F.lit(0)) + F.col("r") - 1).cast("long").alias("pos"), "id")  # one row a graph
+    curve = robustness_curve(sol.union(rest), edges, counts)
+    return robustness_score(curve, counts), curve

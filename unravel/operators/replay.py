@@ -27,6 +27,15 @@ def state_prefix(steps: DataFrame) -> DataFrame:
     return steps.select("episode", "step", held.alias("state"))
 
 
+def successor_state(steps: DataFrame, n: int) -> DataFrame:
+    """episode, step, next_state: the actions before the state n steps on, or all of the
+    episode's if it ends before that."""
+    whole = steps.groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("step", "action"))).alias("all"))
+    # An episode's actions are one row already: its states are.
+    one = whole.select("episode", F.col("all.action").alias("actions"), F.explode("all.step").alias("step"))
+    return one.select("episode", "step", F.slice("actions", 1, F.least(F.col("step") + n, F.size("actions")).cast("int")).alias("next_state"))
+
+
 def ring(rows: DataFrame, capacity: int, seq: str = "seq") -> DataFrame:
     """The last ``capacity`` rows by ``seq`` (dense from 0), with their slot."""
     last = rows.agg(F.max(seq).alias("__last"))

@@ -54,6 +54,17 @@ def read_timings(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.input_file_name().alias("file"), pairs.alias("p")).select("file", "p.*")
 
 
+def read_first_times(spark: SparkSession, path: str) -> DataFrame:
+    """file, time: the first column of the first data row of timing files with a header."""
+    lines = read_lines(spark, path).where("pos = 1")
+    return lines.select("file", F.trim(F.split("line", ",", 2)[0]).cast("double").alias("time"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos, line of small text files."""
+    return _whole(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("value", r"\s+\z", ""), r"\r?\n")).alias("pos", "line"))
+
+
 def graph_from_arrays(spark: SparkSession, graph_id: int, src: list[int], dst: list[int], value: list[float] | None = None) -> DataFrame:
     """Edges of one graph from parallel arrays; ids in order."""
     rows = [(graph_id, i, min(a, b), max(a, b), (value or [])[i] if value else None) for i, (a, b) in enumerate(zip(src, dst, strict=True))]
@@ -78,3 +89,33 @@ def write_timings(times: DataFrame, path: str) -> None:
 def report_line(scores: DataFrame) -> DataFrame:
     """value: mean and deviation of ``score``, times 100."""
     return scores.agg(F.format_string("%.2f±%.2f", F.avg("score") * 100, F.stddev_pop("score") * 100).alias("value"))
+
+
+def report(scores: DataFrame, ratios: DataFrame, differences: DataFrame, solutions: DataFrame, curves: DataFrame) -> DataFrame:
+    """place, value: the lines of a report. Means and deviations, times 100, of the
+    scores, cycle ratios and differences (each: score); then a line for each graph's
+    solution (graph_id, pos, id) and, after a blank one, for its curve (graph_id, k, cnr).
+    A line holds one graph's list."""
+    names = ("scores", "ratios", "differences")
+    every = [df.select(F.lit(name).alias("of"), "score") for name, df in zip(names, (scores, ratios, differences), strict=True)]
+    of = lambda name: F.when(F.col("of") == name, F.col("score"))
+    pair = lambda name: F.format_string("%.2f±%.2f", F.avg(of(name)) * 100, F.stddev_pop(of(name)) * 100).alias(name)
+    head = every[0].union(every[1]).union(every[2]).agg(*map(pair, names))
+    lists = lambda df, at, item: df.groupBy("graph_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, item.alias("x")))), lambda s: s["x"]), "").alias("value"))
+    sols = lists(solutions, "pos", F.format_string("%d, ", "id"))
+    ratio = lists(curves, "k", F.format_string("cnr=%.2f, ", "cnr"))
+    parts = head.select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("graph_id"), F.format_string("%s, CNR: %s, diff = %s", *names).alias("value"))
+    parts = parts.union(sols.select(F.lit(1), "graph_id", "value")).union(head.select(F.lit(2), F.lit(None).cast("long"), F.lit(""))).union(ratio.select(F.lit(3), "graph_id", "value"))
+    return parts.select(F.struct("part", "graph_id").alias("place"), "value")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """One text file of ``report``, in order."""
+    lines.orderBy("place").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """``scores`` (dataset, solution, time) as a table of a column a dataset and two rows,
+    the scores of the solutions and the times."""
+    rows = scores.select("dataset", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("solution").alias("x")), F.struct(F.lit(1).alias("row"), F.col("time").alias("x")))).alias("r")).select("dataset", "r.*")
+    rows.groupBy("row").pivot("dataset").agg(F.first("x")).orderBy("row").drop("row").coalesce(1).write.mode("overwrite").csv(path, header=True)
