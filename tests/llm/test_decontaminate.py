@@ -24,9 +24,14 @@ def test_edited_copies_by_brute_force(vocab):
         texts += [[f"w{rng.randrange(vocab)}" for _ in range(rng.randrange(60))] + c + [new()] * 3 + [f"w{rng.randrange(vocab)}" for _ in range(40)] for c in copies]
     index = dc.Index([(k, " ".join(w).encode()) for k, w in items], 0.6)
     found, pairs = 0, 0
+    often = np.zeros(len(index.codes), dtype=np.int64)
+    for t in texts:
+        often[np.unique(index.hits(index.ids([x.encode() for x in t]))[1])] += 1
+    rare = index.rare(often)
+    assert 0 < rare.sum() < len(rare)  # the most frequent pairs are no seeds
     for t in texts:
         ids = index.ids([x.encode() for x in t])
-        got = {k: score for k, score, _, _ in dc.matches(index, ids, 0.6)}
+        got = {k: score for k, score, _, _ in dc.matches(index, ids, 0.6, rare)}
         want = {k: s for k, w in enumerate(index.words) if (s := dc.align(w, ids)[0] / (2 * len(w))) >= 0.6 - 1e-12}
         assert got == pytest.approx(want)
         found, pairs = found + len(got), pairs + len(want)

@@ -1,11 +1,13 @@
 """Passages of test items in training documents, edited copies included.
 
-All word pairs of an item are its seeds. A document is aligned with the item
-(Smith-Waterman over words) where enough of its seeds lie together, and the
-alignment's score, as a share of the item's own, decides. Enough is what no alignment
-of that score can do without: M matched words and E edits score 2 M - E and leave at
-least M - 1 - E pairs whole, so S - 1 - n of an item of n words at score S. Where that
-may be none (items of up to five words at 0.6), the seeds are single words.
+An item's seeds are its rarest word pairs, by the number of documents that hold them. A
+document that holds a seed is aligned with the item (Smith-Waterman over words) where
+enough of the item's pairs lie together, and the alignment's score, as a share of the
+item's own, decides. Enough is what no alignment of that score can do without: M matched
+words and E edits score 2 M - E and leave at least M - 1 - E pairs whole, so S - 1 - n of
+an item of n words at score S. Of the item's n - 1 pairs all but so many may be gone, so
+that many rare ones and one more hold one that is whole: no match is lost by the choice.
+Where enough may be none (items of up to five words at 0.6), the seeds are single words.
 
 Items are a stated query set: they are held in blocks of at most about BLOCK items,
 each block against all documents. Words are lower-cased runs without ASCII
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter, defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,26 @@ class Index:
         order = np.argsort(of, kind="stable")
         self.owner, self.many = owner[order], np.bincount(of, minlength=len(self.codes))
         self.start = np.cumsum(self.many) - self.many
+        self.single = single
+
+    def rare(self, often: np.ndarray) -> np.ndarray:
+        """For each place of ``owner``, whether the code is a seed of the item; ``often``:
+        the documents that hold each code."""
+        code, out = np.repeat(np.arange(len(self.codes)), self.many), np.zeros(len(self.owner), dtype=bool)
+        for k in np.unique(self.owner).tolist():
+            at = self.of_item[k]
+            own = self.words[k] if self.single[k] else self.grams(self.words[k])
+            times = np.bincount(np.searchsorted(self.codes[code[at]], own), minlength=len(at))
+            order = np.lexsort((code[at], often[code[at]]))
+            before = np.cumsum(times[order]) - times[order]
+            out[at[order[before <= len(own) - self.need[k]]]] = True
+        return out
+
+    @cached_property
+    def of_item(self) -> list[np.ndarray]:
+        """The places of ``owner`` that are each item's, in order of code."""
+        order = np.argsort(self.owner, kind="stable")
+        return np.split(order, np.searchsorted(self.owner[order], np.arange(1, len(self.items))))
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < GRAM:
@@ -98,14 +121,18 @@ class Index:
         found = self.codes[n] == code
         return at[found], n[found]
 
-    def places(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Of each item with enough seeds together in a text, (first, last) positions
-        of such."""
+    def places(self, ids: np.ndarray, rare: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Of each item with a seed (``rare``) and enough codes together in a text, (first,
+        last) positions of such."""
         at, n = self.hits(ids)
         many = self.many[n]
         total = int(many.sum())
         nth = np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-        item, place = self.owner[np.repeat(self.start[n], many) + nth], np.repeat(at, many)
+        which = np.repeat(self.start[n], many) + nth
+        item, place = self.owner[which], np.repeat(at, many)
+        seeded = np.isin(item, item[rare[which]])
+        item, place = item[seeded], place[seeded]
+        total = len(item)
         order = np.lexsort((place, item))
         item, place = item[order], place[order]
         last = np.arange(total) + self.need[item] - 1
@@ -135,10 +162,29 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def matches(index: Index, ids: np.ndarray, min_score: float) -> list[tuple[int, float, int, int]]:
+def seed_counts(docs: DataFrame, index) -> np.ndarray:
+    """How many of ``docs`` (doc_id, text) hold each code of the broadcast ``index``; as many
+    numbers as a block of items has codes."""
+    arrow = arrow_schema("code long, n long")
+
+    def count(batches):
+        found = np.zeros(len(index.value.codes), dtype=np.int64)
+        for part in slices(batches):
+            for text in binary(part.column(1)):
+                found[np.unique(index.value.hits(index.value.ids(words_of(text)))[1])] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], schema=arrow)
+
+    out = np.zeros(len(index.value.codes), dtype=np.int64)
+    for r in docs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out
+
+
+def matches(index: Index, ids: np.ndarray, min_score: float, rare: np.ndarray) -> list[tuple[int, float, int, int]]:
     """(item number, score, first word, end) of the items in a text, best each."""
     out = []
-    for k, found in index.places(ids).items():
+    for k, found in index.places(ids, rare).items():
         item = index.words[k]
         n, best = len(item), None
         counts = Counter(item.tolist())
@@ -178,10 +224,12 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
         rows = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         chosen = spark.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in rows], min_score))
 
-        def search(batches, chosen=chosen):
+        seeds = spark.sparkContext.broadcast(chosen.value.rare(seed_counts(base, chosen)))
+
+        def search(batches, chosen=chosen, seeds=seeds):
             index = chosen.value
             for part in slices(batches):
-                out = [(d, index.items[k][0], *rest) for d, text in zip(part.column(0).to_pylist(), binary(part.column(1)), strict=True) for k, *rest in matches(index, index.ids(words_of(text)), min_score)]
+                out = [(d, index.items[k][0], *rest) for d, text in zip(part.column(0).to_pylist(), binary(part.column(1)), strict=True) for k, *rest in matches(index, index.ids(words_of(text)), min_score, seeds.value)]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
