@@ -53,10 +53,23 @@ def test_quality(docs, none):
 
 
 def test_host_prior(spark):
-    rows = [(h, i < bad) for h, (n, bad) in {"good": (400, 8), "bad": (400, 390), "tiny": (1, 1)}.items() for i in range(n)]
-    rules = spark.createDataFrame(rows, "host string, base_failed boolean")
+    rows = [(h, i < bad, i >= n - 3) for h, (n, bad) in {"good": (400, 8), "bad": (400, 390), "tiny": (1, 1)}.items() for i in range(n)]
+    rules = spark.createDataFrame(rows, "host string, short_failed boolean, repeats_failed boolean")
     v = {r.host: r for r in quality.host_verdicts(rules).collect()}
-    assert v["good"].host_ok and not v["bad"].host_ok and v["tiny"].host_rate < 1
+    assert v["good"].host_ok and not v["bad"].short_ok and not v["bad"].host_ok and v["tiny"].host_ok and v["tiny"].short_rate < 1
+    assert v["bad"].repeats_ok and v["good"].repeats_ok
+
+
+def test_a_host_falls_by_one_rule(spark):
+    """Of nine hosts with few repeated texts, the one with 40 % goes whole; one of four
+    rows with as many stays."""
+    clean, copy = " ".join(f"w{i}" for i in range(30)), "again and again one says the same thing " * 5
+    rows = [(f"h{h}", i % 50 == 0) for h in range(8) for i in range(100)] + [("spam", i % 5 < 2) for i in range(100)] + [("few", i < 2) for i in range(4)]
+    docs = spark.createDataFrame([(i, copy if bad else clean, h) for i, (h, bad) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.host_quality(docs).collect()}
+    for i, (h, bad) in enumerate(rows):
+        assert got[i].base_failed == bad and got[i].kept == (not bad and h != "spam")
+        assert got[i].short_ok and got[i].repeats_ok == (h != "spam")
 
 
 def components_of(links, nodes):

@@ -1,8 +1,10 @@
 """Quality rules with host verdicts.
 
-Every document gets counts from its whole text and a base verdict. Failures are
-summed by host, each host's failure rate is shrunk towards an empirical beta
-prior fitted over all hosts, and the host's verdict is joined back.
+Every document gets counts from its whole text and a base verdict. Failures of each rule
+are summed by host, each host's failure rate is shrunk towards an empirical beta prior
+fitted over all hosts, and the host's verdict is joined back. A host fails by a rule if
+its rate is over a limit or a multiple of the mean of all hosts, by so many standard
+deviations of its posterior that chance is no likely cause.
 
 Edge cases: a null text counts as empty (no words, base_failed); a document
 without a host gets no host verdict; an empty table gives an empty table; repeated
@@ -68,37 +70,54 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     out = arrow_pass(base, counts, f"doc_id {kind}, host string, {COUNTS}")
-    return out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+    out = out.withColumns({"short_failed": F.col("n_words") < min_words, "repeats_failed": 100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")})
+    return out.withColumn("base_failed", F.col("short_failed") | F.col("repeats_failed"))
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = 0.5, least_prior: float = 2.0) -> DataFrame:
-    """host, host_docs, host_rate (shrunk failure rate), host_ok.
+#: The rules whose failures are judged by host, by the prefix of their columns.
+RULES = ("short", "repeats")
+
+
+def host_verdicts(rules: DataFrame, names: tuple[str, ...] = RULES, max_rate: float = 0.5, factor: float = 2.0, deviations: float = 2.0, least_prior: float = 2.0) -> DataFrame:
+    """host, host_docs, and <rule>_rate (shrunk failure rate), <rule>_ok of each rule
+    with a column <rule>_failed, host_ok (all of them).
 
     Rates follow Beta(a, b): mean and variance of the hosts' raw rates give a and
     b by moments, with the sampling variance taken off and at least
     ``least_prior`` pseudo-documents, so that a host of a few rows stays near the
-    mean. The prior comes from one row of sums; no list of hosts is gathered.
+    mean. A host fails if its posterior mean less ``deviations`` of its posterior's
+    standard deviation is over the lesser of ``max_rate`` and ``factor`` times the mean
+    of all documents. The priors come from one row of sums; no list of hosts is gathered.
     """
-    hosts = rules.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("host_docs")
-    row = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("failed").alias("f"), F.sum("host_docs").alias("n"), F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("inv")).first()
-    mean = (row.f or 0) / row.n if row.n else 0.0
-    spread = max((row.v or 0.0) - mean * (1 - mean) * (row.inv or 0.0), 1e-9)
-    prior = min(max(mean * (1 - mean) / spread - 1, least_prior), 1e6)
-    a, b = mean * prior, (1 - mean) * prior
-    shrunk = (F.col("failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.select("host", "host_docs", shrunk.alias("host_rate"), (shrunk <= F.lit(max_rate)).alias("host_ok"))
-
-
-def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, broadcast_hosts: int = 200_000, **rules) -> DataFrame:
-    """Counts, base_failed, host_docs, host_rate, host_ok and kept of every row.
+    failed = [F.sum(F.col(f"{r}_failed").cast("long")).alias(f"{r}_failed") for r in names]
+    hosts = rules.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *failed)
+    hosts = staged(hosts, "hostcounts")
+    sums = [x for r in names for x in (F.sum(f"{r}_failed").alias(f"f_{r}"), F.var_pop(F.col(f"{r}_failed") / F.col("host_docs")).alias(f"v_{r}"))]
+    row = hosts.agg(F.sum("host_docs").alias("n"), F.avg(1 / F.col("host_docs")).alias("inv"), *sums).first()
+    out, ok = hosts, F.lit(True)
+    for r in names:
+        mean = (row[f"f_{r}"] or 0) / row.n if row.n else 0.0
+        spread = max((row[f"v_{r}"] or 0.0) - mean * (1 - mean) * (row.inv or 0.0), 1e-9)
+        prior = min(max(mean * (1 - mean) / spread - 1, least_prior), 1e6)
+        a, n = mean * prior, F.col("host_docs") + F.lit(prior)
+        rate = F.col(f"{r}_rate")
+        out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failed") + F.lit(a)) / n)
+        limit = min(max_rate, factor * mean) if mean else max_rate
+        out = out.withColumn(f"{r}_ok", rate - deviations * F.sqrt(rate * (1 - rate) / (n + 1)) <= F.lit(limit))
+        ok = ok & F.col(f"{r}_ok")
+    return out.withColumn("host_ok", ok).drop(*(f"{r}_failed" for r in names))
+
+
+def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, factor: float = 2.0, broadcast_hosts: int = 200_000, **rules) -> DataFrame:
+    """Counts, base_failed, host_docs, each rule's rate and verdict, host_ok and kept of
+    every row.
 
     Texts are read once: the narrow counts are staged. Hosts are broadcast only
     up to ``broadcast_hosts`` rows; beyond, the join shuffles and AQE splits a hot
     host.
     """
     counts = staged(document_rules(docs, id_col, text_col, host_col, **rules), "quality")
-    verdicts = staged(host_verdicts(counts, max_rate), "hosts")
+    verdicts = staged(host_verdicts(counts, max_rate=max_rate, factor=factor), "hosts")
     if bounded(verdicts, broadcast_hosts):
         verdicts = F.broadcast(verdicts)
     out = counts.join(verdicts, "host", "left")
@@ -107,4 +126,4 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op1_host_quality(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return host_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate")
+    return host_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "short_rate", "repeats_rate", "host_ok")
