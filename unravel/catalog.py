@@ -251,7 +251,15 @@ pooled("cnr_curve_checkpoints", "SELECT f.graph_id, f.k, CAST(count(c.id) AS BIG
 pooled("episode_steps")(lambda p: rounded(decycling.episode_steps(cnr_curve(p)), "reward"))
 pooled("solution_prefix")(lambda p: rounded(decycling.prefix_above(cnr_curve(p), 0.05), "cnr"))
 pooled("pool_insert", "SELECT graph_id, edge_id, src, dst, value FROM edges UNION ALL SELECT graph_id + 10, edge_id, src, dst, value FROM edges WHERE graph_id < 3")(lambda p: pools.insert_graphs(p.edges, p.edges.where("graph_id < 3").withColumn("graph_id", F.col("graph_id") + 10)))
-pooled("pool_sample")(lambda p: pools.sample_graphs(p.edges, 16, 1))
+def draw_sql(seed: int, *columns: str) -> str:
+    """``functions.draw``."""
+    h = str(seed)
+    for c in columns:
+        h = f"list_transform([({h} * 48271 + {c}) % 2147483647], lambda h: (h * h + 12 * h) % 2147483647)[1]"
+    return h
+
+
+pooled("pool_sample", f"SELECT draw, graph_id FROM (SELECT CAST(i AS BIGINT) AS draw, {draw_sql(1, 'i')} % (SELECT count(*) FROM counts) AS r FROM range(0, 16) t(i)) JOIN (SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS r FROM counts) USING (r)")(lambda p: pools.sample_graphs(p.edges, 16, 1))
 pooled("edge_add", "SELECT graph_id, edge_id, src, dst, value FROM edges UNION ALL SELECT graph_id, m, 0, 1000000, CAST(0.5 AS DOUBLE) FROM counts")(lambda p: pools.add_edges(p.edges, p.edges.select("graph_id", F.lit(1_000_000).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(0.5).alias("value")).union(p.edges.select("graph_id", "dst", "src", "value"))))
 pooled("two_core", loops=True)(lambda p: cycles.two_core(p.edges))
 pooled("decycle_greedy")(lambda p: policies.decycle_order(p.edges))
@@ -274,7 +282,7 @@ def betweenness_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(betweenness.betweenness(trade_pool(spark, sf_dir).edges), "score")
 
 
-pooled("random_policy")(lambda p: policies.random_order(p.vertices, 7))
+pooled("random_policy", f"SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY {draw_sql(7, 'graph_id', 'id')}, id) - 1 AS BIGINT) AS pos, id FROM v")(lambda p: policies.random_order(p.vertices, 7))
 pooled("reinsert_order")(lambda p: policies.reinsert_order(p.edges, p.removals.select("graph_id", F.col("step").alias("pos"), "id"), "rank", 0.01))
 
 
@@ -322,7 +330,7 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("per_stratified_sample", "SELECT draw, slot, round(priority, 6) AS priority FROM draws JOIN cum ON hi - priority < v AND v <= hi", RING_SQL, LEAF_SQL)(lambda s, d: rounded(sampled(s, d).select("draw", "slot", "priority"), "priority"))
 query("per_is_weights", "SELECT draw, round(pow(priority / (SELECT min(priority) FROM slots), -0.4), 6) AS weight FROM draws JOIN cum ON hi - priority < v AND v <= hi", RING_SQL, LEAF_SQL)(lambda s, d: rounded(sampled(s, d).select("draw", "weight"), "weight"))
-query("uniform_sample")(lambda s, d: replay.uniform(memory(s, d), 32, 1))
+query("uniform_sample", f"SELECT draw, slot FROM (SELECT CAST(i AS BIGINT) AS draw, {draw_sql(1, 'i')} % (SELECT count(*) FROM slots) AS r FROM range(0, 32) t(i)) JOIN (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS r FROM slots) USING (r)", RING_SQL)(lambda s, d: replay.uniform(memory(s, d), 32, 1))
 
 # Reports
 ANC_SQL = """a AS (SELECT method, graph_id, CASE WHEN count(*) < 2 THEN 0.0 ELSE avg(CASE WHEN c.pos > 0 AND f.cnr <> 0 THEN c.cnr / f.cnr END) END a FROM curves c JOIN (SELECT method, graph_id, cnr FROM curves WHERE pos = 0) f USING (method, graph_id) GROUP BY 1, 2)"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import hub_join
+
 
 def _degree(arcs: DataFrame, name: str) -> DataFrame:
     return arcs.groupBy("graph_id", F.col("src").alias(name)).agg(F.count(F.lit(1)).alias(f"d_{name}"))
@@ -66,4 +68,4 @@ def edge_to_edge(arcs: DataFrame) -> DataFrame:
     """arcs x arcs: u->v follows w->u, w other than v (non-backtracking)."""
     a = arcs.select("graph_id", F.col("arc_id").alias("row"), F.col("src").alias("mid"), F.col("dst").alias("v"))
     b = arcs.select("graph_id", F.col("arc_id").alias("col"), F.col("dst").alias("mid"), F.col("src").alias("w"))
-    return a.join(b, ["graph_id", "mid"]).where("v <> w").select("graph_id", "row", "col", F.lit(1.0).alias("value"))
+    return hub_join(a, b, ["graph_id", "mid"]).where("v <> w").select("graph_id", "row", "col", F.lit(1.0).alias("value"))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import draw
 from .cycles import break_cycles, neighbours
 
 Graph = dict[int, set[int]]
@@ -271,10 +272,10 @@ def decycle_order(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def random_order(vertices: DataFrame, seed: int = 0) -> DataFrame:
-    """A fixed shuffle by a hash of (seed, graph, id)."""
+    """A fixed shuffle by ``functions.draw`` of (seed, graph, id)."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("graph_id").orderBy(F.xxhash64(F.lit(seed), "graph_id", "id"), "id")
+    w = Window.partitionBy("graph_id").orderBy(draw(seed, F.col("graph_id"), F.col("id")), "id")
     return vertices.select("graph_id", (F.row_number().over(w) - 1).cast("long").alias("pos"), "id")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import draw
+
 
 def insert_graphs(pool: DataFrame, graphs: DataFrame) -> DataFrame:
     """``pool`` with the edges of ``graphs``; raises if a graph_id is in both."""
@@ -18,11 +20,11 @@ def get_graph(pool: DataFrame, graph_id: int) -> DataFrame:
 
 
 def sample_graphs(pool: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` graph ids drawn with replacement: draw, graph_id. The draws are hashes of the
-    seed, so they come out the same wherever they run."""
-    ids = pool.select("graph_id").distinct().agg(F.sort_array(F.collect_list("graph_id")).alias("ids"))  # one id a graph
-    draws = ids.select("ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("draw")).where(F.size("ids") > 0)
-    return draws.select("draw", F.get("ids", F.pmod(F.xxhash64("draw", F.lit(seed)), F.size("ids")).cast("int")).alias("graph_id"))
+    """``n`` graph ids drawn with replacement: draw, graph_id. The draws are
+    ``functions.draw`` of the seed, so they come out the same wherever they run."""
+    ids = pool.select("graph_id").distinct().withColumn("r", F.row_number().over(Window.orderBy("graph_id")) - 1)  # one row a graph
+    draws = pool.sparkSession.range(n).select(F.col("id").alias("draw")).join(F.broadcast(ids.agg(F.count(F.lit(1)).alias("size"))))
+    return draws.where("size > 0").select("draw", F.pmod(draw(seed, F.col("draw")), F.col("size")).alias("r")).join(ids, "r").select("draw", "graph_id")
 
 
 def clear(pool: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import draw
+
 
 def _order() -> Window:
     return Window.partitionBy("episode").orderBy("step")
@@ -86,8 +88,8 @@ def stratified(slots: DataFrame, capacity: int, n: int, offset: float = 0.5, bet
 
 
 def uniform(slots: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """draw, slot: n draws with replacement, by a hash of (seed, draw)."""
+    """draw, slot: n draws with replacement, by ``functions.draw`` of (seed, draw)."""
     size = slots.agg(F.count(F.lit(1)).alias("size"))
     ranked = slots.select("slot", (F.row_number().over(Window.orderBy("slot")) - 1).alias("r"))
-    draws = slots.sparkSession.range(n).join(F.broadcast(size)).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("size")).alias("r"))
+    draws = slots.sparkSession.range(n).join(F.broadcast(size)).select(F.col("id").alias("draw"), F.pmod(draw(seed, F.col("id")), F.col("size")).alias("r"))
     return draws.join(ranked, "r").select("draw", "slot")

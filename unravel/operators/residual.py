@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import hub_join
 from ..plans.derive import both_ways
 
 
@@ -65,7 +66,7 @@ def common_neighbor_pairs(arcs: DataFrame, vertices: DataFrame, removals: DataFr
     may itself be removed. Wedges by an equi-join, never all pairs."""
     live = residual_vertices(vertices, removals)
     a = arcs.join(live.withColumnRenamed("id", "dst"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("mid"), F.col("dst").alias("x"))
-    pairs = a.join(a.withColumnRenamed("x", "y"), ["graph_id", "mid"]).where("x < y").select("graph_id", "x", "y").distinct()
+    pairs = hub_join(a, a.withColumnRenamed("x", "y"), ["graph_id", "mid"]).where("x < y").select("graph_id", "x", "y").distinct()
     return pairs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
