@@ -255,7 +255,7 @@ def draw_sql(seed: int, *columns: str) -> str:
     """``functions.draw``."""
     h = str(seed)
     for c in columns:
-        h = f"list_transform([({h} * 48271 + {c}) % 2147483647], lambda h: (h * h + 12 * h) % 2147483647)[1]"
+        h = f"list_transform([({h} * 48271 + {c}) % 2147483647], lambda h: (h * h + 12 * h) % 2147483647 * 48271 % 2147483647)[1]"
     return h
 
 

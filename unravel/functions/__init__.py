@@ -24,7 +24,7 @@ def draw(seed: int, *columns: Column) -> Column:
     h = F.lit(seed % PRIME).cast("long")
     for c in columns:
         h = F.pmod(h * 48_271 + F.pmod(c, F.lit(PRIME)), F.lit(PRIME))
-        h = F.pmod(h * h + 12 * h, F.lit(PRIME))
+        h = F.pmod(F.pmod(h * h + 12 * h, F.lit(PRIME)) * 48_271, F.lit(PRIME))
     return h
 
 
