@@ -37,7 +37,7 @@ from .common import arrow_schema, binary, gathered, release, slices, staged
 
 LEAST, MOST_WORDS, TOP, INSIDE = 30, 4, 2000, 80
 #: Words of a block; parts in which the best phrases of a language are sought first.
-BLOCK, BINS = 3 << 20, 64
+BLOCK, BINS = 2 << 20, 64
 #: Bits of a key's number in its block and of a block's number in its task: a task may make
 #: 2048 blocks, and 2 ** 21 tasks may.
 NUMBER_BITS, MADE_BITS = 31, 11
@@ -129,13 +129,15 @@ def paired(blocks: DataFrame, found: DataFrame) -> DataFrame:
             return arrow.empty_table()
         places = left.column("places").combine_chunks().values.to_numpy()
         number, ids = right.column("number").to_numpy(), right.column("id").to_numpy()
-        to = np.full(max(int(places.max(initial=0)), int(number.max())) + 2, -1, dtype=np.int64)
-        to[number] = np.arange(len(number))
+        to = np.full(max(int(places.max(initial=0)), int(number.max())) + 2, -1, dtype=np.int32)
+        to[number] = np.arange(len(number), dtype=np.int32)
         at = to[places]  # -1 reads the last, which is -1
         start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        kinds, which, n = np.unique(at[start] * len(ids) + at[start + 1], return_inverse=True, return_counts=True)
+        pair = at[start].astype(np.int64) * len(ids) + at[start + 1]
+        kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
         out = np.full(len(at), -1, dtype=np.int32)
         out[start] = which
+        del to, at, start, pair, which
         keys = pa.StructArray.from_arrays([pa.array(ids[kinds // len(ids)]), pa.array(ids[kinds % len(ids)]), pa.array(n.astype(np.int64))], fields=list(arrow.field("keys").type.value_type))
         return pa.Table.from_batches([one_row(arrow, left.column("block")[0].as_py(), out, keys)], schema=arrow)
 
