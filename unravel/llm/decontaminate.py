@@ -241,7 +241,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
+    """The rows of ``docs`` that hold no item. Documents are told apart by id: a row that
+    shares its doc_id with one that holds an item goes too; rows of a null doc_id or a null
+    text stay."""
     bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
 

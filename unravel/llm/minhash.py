@@ -226,7 +226,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that another document of their group stands for."""
+    """The rows of ``docs`` without those that another document of their group stands for.
+    Documents are told apart by id: a row that shares its doc_id with a copy goes with it;
+    rows of a null doc_id, or without words, stay; an empty table stays empty."""
     gone = near_duplicates(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
