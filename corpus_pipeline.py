@@ -3,6 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns
 a DataFrame, which ``run`` writes as Parquet in the shared folder and rereads as the
 next stage's ``docs``. All stages but the last return the columns of documents.
+
+Edge cases: a null text is scored as empty, has no lines and no shingles, holds no item,
+and is packed as its end id alone; documents are told apart by doc_id where stages drop
+them, so rows that share one go together there; rows of a null doc_id are kept by the
+filtering stages but for what their own text decides; an empty table passes through all
+stages; columns beside those of documents are kept up to the last stage.
 """
 
 from __future__ import annotations

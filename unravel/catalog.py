@@ -125,6 +125,7 @@ FROM counts c JOIN (SELECT graph_id, count(*) removed FROM rem GROUP BY 1) r USI
 JOIN (SELECT graph_id, sum(d * (d - 1)) / 2 wedges FROM (SELECT graph_id, id, count(*) d FROM (SELECT graph_id, src id FROM res UNION ALL SELECT graph_id, dst FROM res) GROUP BY 1, 2) GROUP BY 1) w USING (graph_id)"""
 pooled("residual_status", STATUS_SQL)(lambda p: rounded(residual.status(p.vertices, p.edges, p.removals), "covered_frac", "edge_frac", "wedge_density"))
 pooled("common_neighbor_pairs", "SELECT graph_id, CAST(count(*) AS BIGINT) pairs FROM (SELECT DISTINCT a.graph_id, a.dst x, b.dst y FROM arcs a JOIN arcs b ON a.graph_id = b.graph_id AND a.src = b.src AND a.dst < b.dst WHERE (a.graph_id, a.dst) IN (SELECT (graph_id, id) FROM resv) AND (b.graph_id, b.dst) IN (SELECT (graph_id, id) FROM resv)) GROUP BY 1")(lambda p: residual.common_neighbor_pairs(p.arcs, p.vertices, p.removals))
+pooled("touched_edges", "SELECT graph_id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS edges FROM (SELECT DISTINCT e.graph_id, e.edge_id FROM edges e JOIN rem r ON r.graph_id = e.graph_id AND r.id IN (e.src, e.dst)) GROUP BY 1")(lambda p: residual.touched_edges(p.arcs, p.removals).withColumn("edges", F.array_join(F.col("edges").cast("array<string>"), ",")))
 pooled("sym_diff_vertices", "SELECT graph_id, id FROM resv")(lambda p: residual.symmetric_difference(p.vertices, p.removals))
 pooled("topk_removals", "SELECT graph_id, pos, id FROM sol WHERE pos < 10")(lambda p: p.solution.where("pos < 10").select("graph_id", "pos", "id"))
 
@@ -200,6 +201,7 @@ def residual_components(p: Pool) -> DataFrame:
 
 pooled("max_component", "SELECT graph_id, CAST(max(s) AS BIGINT) largest FROM (SELECT graph_id, comp, count(*) s FROM rcomps GROUP BY 1, 2) GROUP BY 1", *RESC, loops=True)(lambda p: comp.connectivity(residual_components(p)).select("graph_id", "largest"))
 pooled("biggest_ratio", "SELECT graph_id, round(max(s) / sum(s), 6) ratio FROM (SELECT graph_id, comp, count(*) s FROM rcomps GROUP BY 1, 2) GROUP BY 1", *RESC, loops=True)(lambda p: rounded(comp.connectivity(residual_components(p)).select("graph_id", "ratio"), "ratio"))
+pooled("residual_score", "SELECT graph_id, round(sum(s * (s - 1)) / 2 / (n * (n - 1) / 2.0), 6) score FROM (SELECT graph_id, comp, count(*) s FROM rcomps GROUP BY 1, 2) JOIN counts USING (graph_id) GROUP BY 1, n", *RESC, loops=True)(lambda p: rounded(comp.residual_score(residual_components(p), p.counts), "score"))
 pooled("reinsert_scores", """SELECT r.graph_id, r.id, CAST(count(s.comp) AS BIGINT) AS "count", CAST(1 + coalesce(sum(s.size), 0) AS BIGINT) AS "rank", CAST(count(s.comp) * (1 + coalesce(sum(s.size), 0)) AS BIGINT) AS multiple
 FROM rem r LEFT JOIN (SELECT DISTINCT a.graph_id, a.src id, c.comp FROM arcs a JOIN rcomps c ON a.graph_id = c.graph_id AND a.dst = c.id) t USING (graph_id, id) LEFT JOIN (SELECT graph_id, comp, count(*) size FROM rcomps GROUP BY 1, 2) s ON s.graph_id = t.graph_id AND s.comp = t.comp GROUP BY 1, 2""", *RESC, loops=True)(lambda p: policies.reinsert_scores(p.arcs, residual_components(p), p.removals))
 
@@ -339,6 +341,7 @@ query("anc_std", "SELECT method, round(stddev_samp(a), 6) AS std FROM a GROUP BY
 query("padded_mean_curve", "SELECT method, pos, round(sum(cnr) / max(n), 6) AS cnr FROM curves JOIN (SELECT method, CAST(count(DISTINCT graph_id) AS DOUBLE) n FROM curves GROUP BY 1) USING (method) GROUP BY 1, 2", CURVES_SQL)(lambda s, d: rounded(metrics.padded_mean(event_curves(s, d)), "cnr"))
 query("truncated_curves", "SELECT method, graph_id, pos, cnr FROM curves JOIN (SELECT method, min(l) l FROM (SELECT method, graph_id, max(pos) l FROM curves GROUP BY 1, 2) GROUP BY 1) USING (method) WHERE pos <= l", CURVES_SQL)(lambda s, d: metrics.truncated(event_curves(s, d)))
 query("first_below_threshold", "SELECT method, graph_id, min(CASE WHEN cnr < 20 THEN pos END) AS pos FROM curves GROUP BY 1, 2", CURVES_SQL)(lambda s, d: metrics.first_below(event_curves(s, d), 20.0))
+query("first_at_threshold", "SELECT method, graph_id, min(CASE WHEN floor(cnr) <= 20 THEN pos END) AS pos FROM curves GROUP BY 1, 2", CURVES_SQL)(lambda s, d: metrics.first_below(event_curves(s, d).withColumn("cnr", F.floor("cnr").cast("double")), 20.0, inclusive=True))
 query("mean_solution_size", "SELECT method, CAST(avg(l) AS DOUBLE) AS size FROM (SELECT method, graph_id, count(*) l FROM curves GROUP BY 1, 2) GROUP BY 1", CURVES_SQL)(lambda s, d: event_curves(s, d).groupBy("method", "graph_id").agg(F.count(F.lit(1)).alias("l")).groupBy("method").agg(F.avg("l").alias("size")))
 query("mean_time", "SELECT method, round(avg(t), 6) AS time FROM (SELECT method, graph_id, sum(cnr) t FROM curves GROUP BY 1, 2) GROUP BY 1", CURVES_SQL)(lambda s, d: rounded(event_curves(s, d).groupBy("method", "graph_id").agg(F.sum("cnr").alias("t")).groupBy("method").agg(F.avg("t").alias("time")), "time"))
 query("mean_time_two_sources", "SELECT method, round(avg(t), 6) AS time FROM (SELECT a.method, a.graph_id, a.t + b.t AS t FROM (SELECT event_type AS method, user_id graph_id, sum(abs(value)) t FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2) a JOIN (SELECT event_type AS method, user_id graph_id, sum(abs(value)) t FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) b USING (method, graph_id)) GROUP BY 1")(lambda s, d: rounded(metrics.mean_of_sums(*(s.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % 2 == part).groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("graph_id")).agg(F.sum(F.abs("value")).alias("time")) for part in (0, 1))), "time"))

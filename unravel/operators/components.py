@@ -54,6 +54,14 @@ def component_sizes(labels: DataFrame, keys: Sequence[str] = ("graph_id",)) -> D
     return labels.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("size"))
 
 
+def residual_score(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """graph_id, score: connected pairs of a residual graph, by its ``labels``, over all
+    pairs of the graph (``counts``: graph_id, n); 0 if nothing is left."""
+    pairs = connectivity(labels).select("graph_id", "pairs")
+    whole = F.col("n") * (F.col("n") - 1) / 2
+    return counts.join(pairs, "graph_id", "left").select("graph_id", F.when(whole > 0, F.coalesce("pairs", F.lit(0)) / whole).otherwise(0.0).alias("score"))
+
+
 def connectivity(labels: DataFrame, keys: Sequence[str] = ("graph_id",)) -> DataFrame:
     """keys, n, components, largest, pairs (connected pairs), ratio (largest / n)."""
     s = component_sizes(labels, keys)

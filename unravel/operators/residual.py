@@ -22,6 +22,12 @@ def residual_vertices(vertices: DataFrame, removals: DataFrame) -> DataFrame:
     return vertices.join(_gone(removals, "id"), ["graph_id", "id"], "left_anti").select(*vertices.columns)
 
 
+def touched_edges(arcs: DataFrame, removals: DataFrame) -> DataFrame:
+    """graph_id, edges: the ids of the edges that removals touch, each once, rising."""
+    hit = arcs.join(_gone(removals, "src"), ["graph_id", "src"]).select("graph_id", "edge_id").distinct()
+    return hit.groupBy("graph_id").agg(F.array_sort(F.collect_list("edge_id")).alias("edges"))
+
+
 def removal_flags(vertices: DataFrame, removals: DataFrame) -> DataFrame:
     """graph_id, id, idx: -1 removed, 0 residual."""
     gone = _gone(removals, "id").withColumn("gone", F.lit(True))
