@@ -110,7 +110,8 @@ BLOCK = 512
 def newton(rows: list[tuple[np.ndarray, np.ndarray | None, int]], features: int, penalty: float = 1.0, swap_penalty: float = 10.0, rounds: int = 25) -> tuple[float, np.ndarray]:
     """(bias, weights) by Newton's method on loss + penalty |w|^2 / 2 +
     swap_penalty * sum((w x - w x')^2) / 2. ``rows``: places of a text's features, those of
-    its swapped copy or None, label. Sums are formed BLOCK rows at a time."""
+    its swapped copy or None, label. Sums are formed BLOCK rows at a time. A step is halved
+    until the sum falls: whole steps may run away where texts have many features in common."""
     y = np.array([r[2] for r in rows], dtype=np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     bias, w = float(np.log(share / (1 - share))), np.zeros(features)
@@ -127,6 +128,14 @@ def newton(rows: list[tuple[np.ndarray, np.ndarray | None, int]], features: int,
         part = swapped[at : at + BLOCK]
         d = spread([x for x, _ in part]) - spread([z for _, z in part])
         ridge += swap_penalty * (d.T @ d)
+    flat = np.concatenate([r[0] for r in rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+
+    def total(w: np.ndarray, bias: float) -> float:
+        z = bias + np.bincount(owner, w[flat], len(rows))
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ ridge @ w / 2)
+
+    now = total(w, bias)
     for _ in range(rounds):
         gw, gb, h, cross, mass = ridge @ w, 0.0, ridge.copy(), np.zeros(features), 0.0
         for at in range(0, len(rows), BLOCK):
@@ -137,7 +146,12 @@ def newton(rows: list[tuple[np.ndarray, np.ndarray | None, int]], features: int,
             h += x.T @ xv
             gw, gb, cross, mass = gw + x.T @ off, gb + off.sum(), cross + xv.sum(axis=0, dtype=np.float64), mass + v.sum()
         step = np.linalg.solve(h - np.outer(cross, cross) / mass, gw - cross * gb / mass)
-        w, bias = w - step, bias - float(gb - cross @ step) / mass
+        shift, share = float(gb - cross @ step) / mass, 1.0
+        while (after := total(w - share * step, bias - share * shift)) > now and share > 1e-9:
+            share /= 2
+        if after > now:
+            break
+        w, bias, now = w - share * step, bias - share * shift, after
         if np.abs(step).max() < 1e-4:
             break
     return bias, w
