@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from unravel.operators import components as comp, robustness
+from test_forest import EDGES, some_graphs
+from unravel.operators import components as comp, cycles, forest, robustness
 
 
 @pytest.mark.parametrize("few", [5, 10_000])
@@ -37,3 +38,12 @@ def test_tables_written_shrink(spark, monkeypatch):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)], "graph_id long, src long, dst long")
     assert comp.components(ids, edges).where("comp <> 0").count() == 0
     assert sum(t.count() for t in made) < 8 * n
+
+
+@pytest.mark.parametrize("few", [2, 10_000])
+def test_bridges_by_contraction(spark, monkeypatch, few):
+    monkeypatch.setattr(forest, "FEW", few)
+    rows = some_graphs(4)
+    edges = spark.createDataFrame(rows, EDGES)
+    want = {(r.graph_id, r.src, r.dst) for r in cycles.bridges(edges).collect()}
+    assert {(r.graph_id, r.src, r.dst) for r in forest.bridges(edges).collect()} == want
