@@ -64,3 +64,51 @@ def test_open_late_and_unmarked_episodes(run):
         (3, 7, 30, 2.0, None, True, False),
         (3, 8, 31, 1.0, None, True, False),
     ]
+
+
+class Kept:
+    """A state of one value or a map that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        return self.held[None]
+
+    def update(self, value):
+        self.held[None] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_ring_asks_its_state_by_pages_and_not_by_rows():
+    class Handle:
+        states = []
+
+        def getValueState(self, *_):
+            self.states.append(Kept())
+            return self.states[-1]
+
+        getMapState = getValueState
+
+    import pandas as pd
+
+    for capacity in (1, 8, 255, 256, 257, 700):
+        ring = stateful.Ring(capacity)
+        ring.init(Handle())
+        kept, start, got = Handle.states[-1], 0, []
+        for size in (1, 300, 5, 1200, 90):
+            rows = pd.DataFrame({"seq": range(start, start + size), "priority": [0.5] * size})
+            got += [g for f in ring.handleInputRows((1,), iter([rows]), None) for g in f.itertuples(index=False)]
+            start += size
+        assert [(r.slot, None if r.gone is pd.NA else r.gone) for r in got] == [(i % capacity, i - capacity if i >= capacity else None) for i in range(start)]
+        assert kept.calls <= 5 * 2 * (capacity // 256 + 1)

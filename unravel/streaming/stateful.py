@@ -26,27 +26,41 @@ def _rows(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
     return sorted(out, key=lambda r: r[:1])  # stable: equal seqs stay in order of arrival
 
 
+#: Slots of a ring that are one entry of its state.
+PAGE = 256
+
+
 class Ring(StatefulProcessor):
-    """State: a map from slot to seq, and one value, the number of rows so far with the
-    least and greatest priority of all of them."""
+    """State: a map from page (of PAGE slots) to the seqs of its slots so far, and one value,
+    the number of rows so far with the least and greatest priority of all of them. A key's
+    micro-batch reads and writes a page once, whatever number of rows it has there."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "n long, least double, most double")
-        self.slots = handle.getMapState("slots", "slot long", "seq long")
+        self.pages = handle.getMapState("pages", "page long", "seqs array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, least, most = self.head.get() if self.head.exists() else (0, None, None)
-        out = []
+        out, pages = [], {}
         for seq, priority in _rows(rows, "seq", "priority"):
             slot = n % self.capacity
-            gone = self.slots.getValue((slot,))[0] if n >= self.capacity else None
-            self.slots.updateValue((slot,), (seq,))
+            page, place = divmod(slot, PAGE)
+            if page not in pages:
+                pages[page] = list(self.pages.getValue((page,))[0]) if n > page * PAGE else []
+            held = pages[page]
+            if place < len(held):
+                gone, held[place] = held[place], seq
+            else:
+                gone = None
+                held.append(seq)
             least, most = (priority, priority) if least is None else (min(least, priority), max(most, priority))
             n += 1
             out.append((key[0], seq, slot, priority, gone, least, most))
+        for page, held in pages.items():
+            self.pages.updateValue((page,), (held,))
         self.head.update((n, least, most))
         found = pd.DataFrame(out, columns=["memory", "seq", "slot", "priority", "gone", "least", "most"])
         yield found.astype({"gone": "Int64"})
