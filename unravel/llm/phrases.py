@@ -12,7 +12,10 @@ Texts are kept as blocks of word numbers, in the shared folder. A block's distin
 or pairs, and no single places, are joined globally by one shuffle, which counts and
 names them; the ids come back to the block in a cogroup, which replaces and pairs at
 once. So no dictionary is held whole: a block's task has the block and its own names. A
-block ends with the text that fills it. Hot phrases have one row a block. The best phrases
+block ends with the text that fills it. Hot phrases have one row a block. Words are
+rows of that shuffle. Pairs, far more, are dealt to parts by a hash; what a block sends to
+a part is one row, its pairs in order as packed numbers, and the part, a group of about
+PART pairs at most, answers with one row of ids. The best phrases
 are first sought in BINS parts of each language, then among these.
 
 Scores are compared as whole numbers in decimals of 38 digits.
@@ -38,6 +41,11 @@ from .common import arrow_schema, binary, gathered, release, slices, staged
 LEAST, MOST_WORDS, TOP, INSIDE = 30, 4, 2000, 80
 #: Words of a block; parts in which the best phrases of a language are sought first.
 BLOCK, BINS = 1 << 20, 64
+#: Words of the texts for each part that pairs are dealt to; a part has fewer pairs.
+PART = 1 << 21
+#: Wide rows are written in row groups of about this size, so that no reader or writer
+#: holds many of them; the size is asked for at every row.
+NARROW = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Bits of a key's number in its block and of a block's number in its task: a task may make
 #: 2048 blocks, and 2 ** 21 tasks may.
 NUMBER_BITS, MADE_BITS = 31, 11
@@ -46,10 +54,28 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(ENDS, b"." * len(ENDS))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as 64-bit bytes, compressed: all lowest bytes first, then the next."""
+    if not len(values):
+        return b""
+    return pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=0)
+
+
 def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """block, places (numbers into ``keys``, -1 between pieces), keys (lang, word, n:
+    """block, size (of places), places (packed numbers into ``keys``, -1 between pieces), keys (lang, word, n:
     the block's distinct words and their number)."""
-    schema = "block long, places array<int>, keys array<struct<lang:string,word:string,n:long>>"
+    schema = "block long, size long, places binary, keys array<struct<lang:string,word:string,n:long>>"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +100,8 @@ def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
             keys = pa.StructArray.from_arrays([pa.array([langs[k] for k in keep], pa.string()), pa.array([words[k] for k in keep], pa.binary()).cast(pa.string()), pa.array(counts[keep], pa.int64())], fields=list(arrow.field("keys").type.value_type))
             if made >> MADE_BITS or part_no >> (63 - NUMBER_BITS - MADE_BITS):
                 raise ValueError("too many blocks to number: read the texts in more and smaller tasks, or enlarge BLOCK")
-            out = one_row(arrow, (part_no << MADE_BITS) + made, to[flat], keys)
+            rows = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys).cast(arrow.field("keys").type)
+            out = pa.RecordBatch.from_arrays([pa.array([(part_no << MADE_BITS) + made]), pa.array([len(flat)]), pa.array([pack(to[flat])]), rows], schema=arrow)
             number, held, made = itertools.count(), 0, made + 1
             known.clear()
             places.clear()
@@ -97,11 +124,6 @@ def word_blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def one_row(schema: pa.Schema, block: int, places: np.ndarray, keys: pa.StructArray) -> pa.RecordBatch:
-    whole = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), whole(pa.array(places), schema.field("places").type), whole(keys, schema.field("keys").type)], schema=schema)
-
-
 def named(blocks: DataFrame, parts: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """(names, places) of the staged ``blocks``: id, ``parts``, a (count) of the keys with
     at least ``least`` occurrences; block, number, id of their places in blocks. A key's
@@ -118,30 +140,108 @@ def named(blocks: DataFrame, parts: list[str], least: int) -> tuple[DataFrame, D
     return names, found
 
 
-def paired(blocks: DataFrame, found: DataFrame) -> DataFrame:
+def paired(blocks: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """Blocks like ``blocks`` whose places hold pairs: of the names that ``found`` (block,
-    number, id) gives to a place and to the next. keys: left, right, n."""
-    schema = "block long, places array<int>, keys array<struct<left:long,right:long,n:long>>"
+    number, id, or packed: block, first, size, ids) gives to a place and to the next.
+    keys: a row for each part with pairs: part, first (number of its first pair), size,
+    pairs (packed: left, right, n), ordered by left and right."""
+    schema = "block long, size long, places binary, keys array<struct<part:int,first:long,size:long,pairs:binary>>"
     arrow = arrow_schema(schema)
+    rows = "number" in found.columns
+
+    def named_places(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        if rows:
+            return right.column("number").to_numpy(), right.column("id").to_numpy()
+        sizes, data = right.column("size").to_pylist(), right.column("ids").to_pylist()
+        ids = [np.cumsum(unpack(x, n)) for x, n in zip(data, sizes, strict=True)]
+        number = [unpack(x, n) + k for x, n, k in zip(right.column("numbers").to_pylist(), sizes, right.column("first").to_pylist(), strict=True)]
+        return np.concatenate(number), np.concatenate(ids)
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        places = left.column("places").combine_chunks().values.to_numpy()
-        number, ids = right.column("number").to_numpy(), right.column("id").to_numpy()
+        places = unpack(left.column("places")[0].as_py(), left.column("size")[0].as_py())
+        number, ids = named_places(right)
+        order = np.argsort(ids)
+        number, ids = number[order], ids[order]
         to = np.full(max(int(places.max(initial=0)), int(number.max())) + 2, -1, dtype=np.int32)
         to[number] = np.arange(len(number), dtype=np.int32)
         at = to[places]  # -1 reads the last, which is -1
+        at = at[(at >= 0) | (np.concatenate([[0], at[:-1]]) >= 0)]  # one -1 is as good as many
         start = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
         pair = at[start].astype(np.int64) * len(ids) + at[start + 1]
         kinds, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        out = np.full(len(at), -1, dtype=np.int32)
-        out[start] = which
-        del to, at, start, pair, which
-        keys = pa.StructArray.from_arrays([pa.array(ids[kinds // len(ids)]), pa.array(ids[kinds % len(ids)]), pa.array(n.astype(np.int64))], fields=list(arrow.field("keys").type.value_type))
-        return pa.Table.from_batches([one_row(arrow, left.column("block")[0].as_py(), out, keys)], schema=arrow)
+        one, two = ids[kinds // len(ids)], ids[kinds % len(ids)]
+        part = dealt(one, two, parts)
+        by_part = np.argsort(part, kind="stable")  # so a part's pairs stay in order
+        new = np.empty(len(kinds), dtype=np.int64)
+        new[by_part] = np.arange(len(kinds))
+        out = np.full(len(at), -1, dtype=np.int64)
+        out[start] = new[which]
+        del to, at, start, pair, which, new
+        part, one, two, n = part[by_part], one[by_part], two[by_part], n[by_part]
+        ends = np.searchsorted(part, np.arange(parts + 1))
+        keys = []
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            a, b = int(ends[k]), int(ends[k + 1])
+            keys.append({"part": k, "first": a, "size": b - a, "pairs": pack(np.concatenate([steps(one[a:b]), two[a:b], n[a:b]]))})
+        row = {"block": left.column("block")[0].as_py(), "size": len(out), "places": pack(out), "keys": keys}
+        return pa.Table.from_pylist([row], schema=arrow)
+
+    given = found.select(F.col("block").alias("of"), *(c for c in found.columns if c in ("number", "id", "first", "size", "numbers", "ids")))
+    return blocks.select("block", "size", "places").groupBy("block").cogroup(given.groupBy("of")).applyInArrow(pairs, schema)
+
+
+def dealt(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair: a hash of both ids."""
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def named_pairs(blocks: DataFrame, least: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """As ``named``, of pairs: names are id, left, right, a; the places in blocks are packed
+    rows of block, first, size, numbers (of the frequent pairs, from first on), ids. A
+    part's names are numbered in order; the part is the id's rest by ``parts``."""
+    schema = "block long, first long, size long, numbers binary, ids binary, names array<struct<id:long,left:long,right:long,a:long>>"
+    arrow = arrow_schema(schema)
 
-    return blocks.select("block", "places").groupBy("block").cogroup(found.select(F.col("block").alias("of"), "number", "id").groupBy("of")).applyInArrow(pairs, schema)
+    def count(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("size").to_numpy()
+        left, right, n = (np.empty(int(sizes.sum()), dtype=np.int64) for _ in range(3))
+        ends = np.cumsum(sizes)
+        for end, size, data in zip(ends.tolist(), sizes.tolist(), rows.column("pairs").to_pylist(), strict=True):
+            one, right[end - size : end], n[end - size : end] = np.split(unpack(data, 3 * size), 3)
+            left[end - size : end] = np.cumsum(one)
+        order = np.lexsort((right, left))
+        changed = np.empty(len(order), dtype=bool)
+        changed[:1] = True
+        changed[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+        begin = np.flatnonzero(changed)
+        a = np.add.reduceat(n[order], begin)
+        often = a >= least
+        ids = np.where(often, (np.cumsum(often) - 1) * parts + rows.column("part")[0].as_py(), -1)
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = ids[np.cumsum(changed) - 1]
+        first = order[begin[often]]
+        out: list[list] = [[], [], [], [], []]
+        for block, start, end, size in zip(rows.column("block").to_pylist(), rows.column("first").to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
+            own = of[end - size : end]
+            numbers = np.flatnonzero(own >= 0)
+            if len(numbers):
+                for column, x in zip(out, (block, start, len(numbers), pack(numbers), pack(steps(own[numbers]))), strict=True):
+                    column.append(x)
+        if not out[0]:
+            return arrow.empty_table()
+        fields = list(arrow.field("names").type.value_type)
+        names = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (ids[often], left[first], right[first], a[often])], fields=fields)
+        held = pa.ListArray.from_arrays(pa.array([0] + [len(names)] * len(out[0]), pa.int32()), names).cast(arrow.field("names").type)
+        return pa.Table.from_arrays([*(pa.array(x, f.type) for x, f in zip(out, arrow, strict=False)), held], schema=arrow)
+
+    keys = blocks.select("block", F.explode("keys").alias("k")).select("block", "k.part", "k.first", "k.size", "k.pairs")
+    found = staged(keys.groupBy("part").applyInArrow(count, schema), "places", **NARROW)
+    names = staged(found.select(F.inline("names")), "names")
+    return names, found
 
 
 def composed(names: DataFrame, parents: DataFrame) -> DataFrame:
@@ -169,17 +269,18 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     """lang, rank, phrase, a, l, r, n, score of the ``top`` phrases of two to ``most_words``
     words of each language: those of at least ``least`` occurrences, but for ones that
     lie in a longer phrase with ``inside_percent`` of their occurrences."""
-    blocks = staged(word_blocks(docs, lang_col, text_col), "blocks")
+    blocks = staged(word_blocks(docs, lang_col, text_col), "blocks", **NARROW)
     totals = staged(blocks.select(F.explode("keys").alias("k")).groupBy("k.lang").agg(F.sum("k.n").alias("n")), "totals")
+    parts = (totals.agg(F.sum("n")).first()[0] or 0) // PART + 1
     names, found = named(blocks, ["lang", "word"], least)
     empty = F.array().cast("array<bigint>")
     level = names.select("id", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), empty.alias("before"), empty.alias("after"))
     levels = []
     for _ in range(most_words - 1):
-        longer = staged(paired(blocks, found), "blocks")
+        longer = staged(paired(blocks, found, parts), "blocks", **NARROW)
         release(blocks, found)
         blocks = longer
-        names, found = named(blocks, ["left", "right"], least)
+        names, found = named_pairs(blocks, least, parts)
         level = composed(names, level)
         levels.append(level)
     release(blocks, found)
