@@ -22,7 +22,7 @@ from .common import arrow_pass, binary, shared_dir
 from .tokens import encoder, packed
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_in_index: int = 1000, stripe_bytes: int = 16 << 20, compress: str = "zstd") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_in_index: int = 1000, stripe_bytes: int = 16 << 20, compress: str = "lz4") -> None:
     """Encode every whole text, append ``end_id``, write ORC in ascending id order.
 
     Columns: doc_id, part (the file's number), start (ids before it in its file),

@@ -113,15 +113,40 @@ class Encoder:
         end = cut[len(core) :]
         return out + (self.words.get(end) or self.piecewise(end))
 
+    def fresh(self, cuts: list[str]) -> None:
+        """Keep those of ``cuts``, after a space that counts, that aren't yet. ASCII letters
+        stand for themselves in the vocabulary; the rest goes through ``cut_ids``."""
+        kept, words, tokenize = self.spaced, self.words, self.model.tokenize
+        if len(words) >= self.kept:
+            words.clear()
+        space = self.letters[32]
+        for x in cuts:
+            if x in kept:
+                continue
+            core = x if x.isalpha() else x.rstrip(ENDS)
+            if not (core.isascii() and core.isalpha()):
+                kept[x] = self.cut_ids(" ", x)
+                continue
+            key = " " + core
+            if (ids := words.get(key)) is None:
+                ids = words[key] = packed([t.id for t in tokenize(space + core)])
+            if core is not x:
+                end = x[len(core) :]
+                ids += words.get(end) or self.piecewise(end)
+            kept[x] = ids
+
     def known(self, kept: dict[str, bytes], before: str, cuts: list[str]) -> bytes:
         try:
             return b"".join(map(kept.__getitem__, cuts))
         except KeyError:
             if len(kept) > self.kept:
                 kept.clear()
-            for x in cuts:
-                if x not in kept:
-                    kept[x] = self.cut_ids(before, x)
+            if before == " " and not self.lowered:
+                self.fresh(cuts)
+            else:
+                for x in cuts:
+                    if x not in kept:
+                        kept[x] = self.cut_ids(before, x)
             return b"".join(map(kept.__getitem__, cuts))
 
     def encode(self, text: str) -> bytes:
